@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbolita.llm import wu_manber
+from arbolita.llm import deobfuscate, ecoc_langid, wu_manber
 from arbolita.sources.tables import table
 
 
+def op2_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every identifier of every document, with its span in the source."""
+    return deobfuscate.find(table(spark, sf_dir, "documents"))
+
+
+def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by classifiers fitted on a bounded sample of the declared languages."""
+    docs = table(spark, sf_dir, "documents")
+    return ecoc_langid.identify(docs, ecoc_langid.train(docs))
+
+
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that share a run of eight words."""
     return wu_manber.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,7 +45,7 @@ OP9_SQL = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_wu_manber": op9_wu_manber}
+    return {f.__name__: f for f in (op2_deobfuscation, op7_ecoc_language, op9_wu_manber)}
 
 
 def oracle_sql() -> dict[str, str]:
