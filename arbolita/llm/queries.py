@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbolita.llm import deobfuscate, ecoc_langid, wu_manber
+from arbolita.llm import deobfuscate, ecoc_langid, fertility, spm_trie, wu_manber
 from arbolita.sources.tables import table
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_fertility(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Fertility measures and verdict of every document, under a byte-level and a piece vocabulary."""
+    files = {"byte": f"{tokenizers}/byte_bpe_multi_50k.tiktoken", "piece": f"{tokenizers}/piece_bpe_32k.model"}
+    return fertility.judge(table(spark, sf_dir, "documents"), files)
+
+
 def op2_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every identifier of every document, with its span in the source."""
     return deobfuscate.find(table(spark, sf_dir, "documents"))
@@ -21,6 +30,11 @@ def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecoc_langid.identify(docs, ecoc_langid.train(docs))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The token ids of every document, and whether decoding them gives the document again."""
+    return spm_trie.encode(table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+
+
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that share a run of eight words."""
     return wu_manber.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -45,7 +59,7 @@ OP9_SQL = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_deobfuscation, op7_ecoc_language, op9_wu_manber)}
+    return {f.__name__: f for f in (op1_fertility, op2_deobfuscation, op7_ecoc_language, op8_sentencepiece, op9_wu_manber)}
 
 
 def oracle_sql() -> dict[str, str]:
