@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbolita.llm import deobfuscate, ecoc_langid, fertility, spm_trie, wu_manber
+from arbolita.llm import deobfuscate, ecoc_langid, fertility, ngram_join, spm_trie, wu_manber
 from arbolita.sources.tables import table
 
 
@@ -24,6 +24,11 @@ def op2_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deobfuscate.find(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents whose sets of three-word runs have a Jaccard similarity of 0.65 or more."""
+    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+
+
 def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by classifiers fitted on a bounded sample of the declared languages."""
     docs = table(spark, sf_dir, "documents")
@@ -59,7 +64,7 @@ OP9_SQL = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_deobfuscation, op7_ecoc_language, op8_sentencepiece, op9_wu_manber)}
+    return {f.__name__: f for f in (op1_fertility, op2_deobfuscation, op5_ngram_jaccard, op7_ecoc_language, op8_sentencepiece, op9_wu_manber)}
 
 
 def oracle_sql() -> dict[str, str]:
