@@ -32,6 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ def _spread(docs: DataFrame, n: int, buckets: int) -> DataFrame:
 
 
 def _joined(table: pa.Table, kind: int, dtypes) -> list[np.ndarray]:
-    at = table.filter(pa.compute.equal(table["kind"], kind))
+    at = table.filter(pc.equal(table["kind"], kind))
     return [np.frombuffer(b"".join(at[c].to_pylist()), t) for c, t in zip("abc", dtypes)]
 
 
