@@ -5,8 +5,9 @@ scores 1 point, 1 for each comma and 1 for each 100 characters up to 3. Its pare
 next two ancestors a third and a quarter of the points. A container's score is its points times (1 - link density), link density
 being the share of its characters inside ``a``. The container of the highest score is kept, and of its siblings those that
 score at least max(10, a fifth of the best), or are paragraphs of more than 80 characters and link density under 1/4, or
-shorter ones without links that end a sentence. Scripts, styles, comments and the like have no text; ``nav``, ``footer``, ``aside``,
-``form`` and ``header`` outside the container are never siblings that are kept.
+shorter ones without links that end a sentence. Scripts, styles, comments and the like have no text. ``nav``, ``footer``, ``aside``, ``form``, ``header`` and elements
+whose class or id names an advertisement, menu, sidebar or the like are apart: what is in them neither scores nor is kept as
+a sibling.
 
 The text is that of the kept nodes in document order, one line per block element, white space collapsed. The parser accepts any
 input: unclosed ``p``, ``li`` and table cells end where HTML ends them, other end tags close up to the nearest element
@@ -37,15 +38,19 @@ _ENDS_P = _BLOCK - {"br", "td", "th", "tr", "body"}
 _CLOSES = {"li": ("li", ("ul", "ol")), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "tr": ("tr", ("table",)), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "option": ("option", ("select",))}
 _PARAGRAPH = frozenset(("p", "pre", "td", "blockquote", "div"))
 _APART = frozenset(("nav", "footer", "aside", "form", "header"))
+_UNLIKELY = re.compile(
+    r"""(?i)\b(?:class|id)\s*=\s*["']?[^"'>]*\b(?:ads?|advert\w*|banner|breadcrumbs?|comments?|disqus|foot(?:er)?|header|menu|pager|pagination|popup|promo|related|rss|share|sidebar|social|sponsor\w*|widget)\b"""
+)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "order", "points", "chars", "linked", "own")
+    __slots__ = ("tag", "parent", "children", "order", "apart", "points", "chars", "linked", "own")
 
     def __init__(self, tag: str, parent: Node | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.children: list[Node | str] = []
+        self.apart = False
         self.points = 0.0
         self.chars = self.linked = self.own = 0
 
@@ -88,6 +93,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if node.tag in (tag, same):
                 at = node.parent
         node = Node(tag, at, len(nodes))
+        node.apart = at.apart or tag in _APART or tag != "body" and m.group(3) != "" and _UNLIKELY.search(m.group(3)) is not None
         at.children.append(node)
         nodes.append(node)
         if tag in _RAW and not m.group(3).endswith("/"):
@@ -161,7 +167,7 @@ def extract(page: str | None) -> tuple[str | None, float, int]:
     _measure(nodes)
     scored = []
     for node in nodes:
-        if node.tag not in _PARAGRAPH or node.chars < 25 or node.tag == "div" and node.own < 25:
+        if node.tag not in _PARAGRAPH or node.apart or node.chars < 25 or node.tag == "div" and node.own < 25:
             continue
         points = 1 + _commas(node) + min(node.chars // 100, 3)
         up, share = node.parent, (1.0, 1 / 2, 1 / 3, 1 / 4)
@@ -184,7 +190,7 @@ def extract(page: str | None) -> tuple[str | None, float, int]:
             continue
         if c is best:
             keep.append(c)
-        elif c.tag in _APART:
+        elif c.apart:
             continue
         elif score.get(id(c), 0.0) >= max(10.0, top / 5):
             keep.append(c)

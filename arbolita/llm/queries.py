@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbolita.llm import deobfuscate, ecoc_langid, fertility, ngram_join, spm_trie, wu_manber
+from arbolita.llm import deobfuscate, ecoc_langid, fertility, html_tree, ngram_join, spm_trie, url_rules, wu_manber
 from arbolita.sources.tables import table
 
 
@@ -29,6 +29,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that decides about every page's URL."""
+    return url_rules.verdicts(table(spark, sf_dir, "pages"), url_rules.default_rules(spark))
+
+
 def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by classifiers fitted on a bounded sample of the declared languages."""
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +50,11 @@ def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_tree.main_text(table(spark, sf_dir, "pages"))
+
+
 _NORMAL = (
     r"trim(regexp_replace(lower(text), '[\x00-/:-@\[-`{-\x7f\x{80}-\x{a9}\x{ab}-\x{b4}\x{b6}-\x{b9}\x{bb}-\x{bf}"
     r"\x{2000}-\x{206f}\x{3000}-\x{303f}]+', ' ', 'g'))"
@@ -63,9 +73,40 @@ OP9_SQL = f"""
 """
 
 
+_RULES = ", ".join(f"({i}, '{e}', '{a}', {p})" for i, e, a, p in url_rules.DEFAULT_RULES)
+OP6_SQL = f"""
+    WITH rules(rule_id, rule, rule_action, priority) AS (VALUES {_RULES}),
+    rest AS (SELECT page_id, url, regexp_replace(trim(url), '^[a-zA-Z][a-zA-Z0-9+.\\-]*://', '') AS rest FROM pages),
+    parts AS (
+        SELECT page_id, url,
+               regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''),
+                              '^[.]+|[.]+$', '', 'g') AS host,
+               regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '/+', '/', 'g') AS p,
+               CASE WHEN regexp_extract(rest, '^[^?#]*([?])', 1) = '?' THEN regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) END AS query
+        FROM rest),
+    lists AS (
+        SELECT page_id, url, host, query, CASE WHEN p = '' THEN '/' ELSE p END AS path, string_split(host, '.') AS labels FROM parts WHERE host <> ''),
+    hosts AS (
+        SELECT page_id, url, path, query, array_to_string(list_slice(labels, i, len(labels)), '.') AS h
+        FROM (SELECT *, unnest(generate_series(1, greatest(len(labels) - 1, 1))) AS i FROM lists)
+        WHERE i = 1 OR NOT regexp_matches(host, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$')),
+    found AS (
+        SELECT page_id, url, h || array_to_string(list_slice(s, 1, i), '/') || '/' AS e
+        FROM (SELECT *, unnest(generate_series(1, greatest(len(s) - 1, 1))) AS i FROM (SELECT *, string_split(path, '/') AS s FROM hosts))
+        UNION SELECT page_id, url, h || path FROM hosts
+        UNION SELECT page_id, url, h || path || '?' || query FROM hosts WHERE query IS NOT NULL),
+    best AS (
+        SELECT page_id, url, rule_id, rule_action, rule, row_number() OVER (PARTITION BY page_id, url ORDER BY priority DESC,
+               length(split_part(rule, '/', 1)) DESC, length(rule) DESC, rule_action = 'allow' DESC, rule_id) AS k
+        FROM found JOIN rules ON e = rule)
+    SELECT d.page_id, d.url, rule_id::BIGINT AS rule_id, coalesce(rule_action, 'pass') AS action, rule AS expression
+    FROM (SELECT DISTINCT page_id, url FROM pages) d LEFT JOIN best b ON b.page_id = d.page_id AND b.url = d.url AND k = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_deobfuscation, op5_ngram_jaccard, op7_ecoc_language, op8_sentencepiece, op9_wu_manber)}
+    return {f.__name__: f for f in (op1_fertility, op2_deobfuscation, op5_ngram_jaccard, op6_url_rules, op7_ecoc_language, op8_sentencepiece, op9_wu_manber, op10_html_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_wu_manber": OP9_SQL}
+    return {"op6_url_rules": OP6_SQL, "op9_wu_manber": OP9_SQL}
