@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbolita.llm import deobfuscate, ecoc_langid, fertility, html_tree, ngram_join, spm_trie, url_rules, wu_manber
+from arbolita.llm import deobfuscate, ecoc_langid, fertility, html_tree, ngram_join, shards, spm_trie, url_rules, wu_manber
 from arbolita.sources.tables import table
 
 
@@ -24,6 +24,11 @@ def op2_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deobfuscate.find(table(spark, sf_dir, "documents"))
 
 
+def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document: 64 shards, copies of a text together, the heaviest shard as light as can be."""
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose sets of three-word runs have a Jaccard similarity of 0.65 or more."""
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
@@ -64,6 +69,31 @@ _GRAMS = """
         SELECT {key}, words, unnest(generate_series(1, greatest(len(words) - 7, 1))) AS i FROM (
             SELECT {key}, string_split({normal}, ' ') AS words FROM {table} WHERE {normal} <> ''))
 """
+OP3_SQL = """
+    WITH RECURSIVE g AS (
+        SELECT min(doc_id) AS o, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS w, text IS NULL AS none, md5(coalesce(text, '')) AS h
+        FROM documents GROUP BY ALL),
+    a AS (SELECT list(w ORDER BY o) AS ws, sum(w)::BIGINT AS total, max(w) AS top FROM g),
+    search(lo, hi) AS (
+        SELECT greatest(top, (total + 63) // 64), greatest(top, (total + 63) // 64) + top FROM a
+        UNION ALL
+        SELECT CASE WHEN runs <= 64 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN runs <= 64 THEN (lo + hi) // 2 ELSE hi END
+        FROM (
+            SELECT lo, hi, list_reduce(
+                list_prepend({'load': 0::BIGINT, 'runs': 1::BIGINT}, list_transform(ws, lambda x: {'load': x, 'runs': 0::BIGINT})),
+                lambda s, x: CASE WHEN s.load + x.load > (lo + hi) // 2 THEN {'load': x.load, 'runs': s.runs + 1}
+                                  ELSE {'load': s.load + x.load, 'runs': s.runs} END).runs AS runs
+            FROM search, a WHERE lo < hi)),
+    c AS (SELECT min(hi) AS capacity FROM search WHERE lo = hi),
+    n AS (SELECT row_number() OVER (ORDER BY o) AS k, * FROM g),
+    fill(k, load, shard) AS (
+        SELECT 1::BIGINT, w, 0 FROM n WHERE k = 1
+        UNION ALL
+        SELECT n.k, CASE WHEN load + w > capacity THEN w ELSE load + w END, shard + (load + w > capacity)::INT
+        FROM fill JOIN n ON n.k = fill.k + 1, c)
+    SELECT d.doc_id, shard::INT AS shard, capacity FROM documents d
+    JOIN n ON n.h = md5(coalesce(d.text, '')) AND n.none = (d.text IS NULL) JOIN fill ON fill.k = n.k, c
+"""
 OP9_SQL = f"""
     WITH d AS ({_GRAMS.format(key="doc_id", normal=_NORMAL, table="documents")}),
          b AS ({_GRAMS.format(key="item_id", normal=_NORMAL, table="benchmark")}),
@@ -105,8 +135,8 @@ OP6_SQL = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_deobfuscation, op5_ngram_jaccard, op6_url_rules, op7_ecoc_language, op8_sentencepiece, op9_wu_manber, op10_html_tree)}
+    return {f.__name__: f for f in (op1_fertility, op2_deobfuscation, op3_minimax_shards, op5_ngram_jaccard, op6_url_rules, op7_ecoc_language, op8_sentencepiece, op9_wu_manber, op10_html_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_rules": OP6_SQL, "op9_wu_manber": OP9_SQL}
+    return {"op3_minimax_shards": OP3_SQL, "op6_url_rules": OP6_SQL, "op9_wu_manber": OP9_SQL}
