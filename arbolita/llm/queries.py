@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arbolita.llm import deobfuscate, ecoc_langid, fertility, html_tree, ngram_join, shards, spm_trie, url_rules, wu_manber
+from arbolita.llm import deobfuscate, ecoc_langid, fertility, html_tree, license_scan, ngram_join, shards, spm_trie, url_rules, wu_manber
 from arbolita.sources.tables import table
 
 
@@ -29,6 +30,13 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or its directory's; a document's path is source/language/hundred/id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose sets of three-word runs have a Jaccard similarity of 0.65 or more."""
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
@@ -135,7 +143,7 @@ OP6_SQL = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_deobfuscation, op3_minimax_shards, op5_ngram_jaccard, op6_url_rules, op7_ecoc_language, op8_sentencepiece, op9_wu_manber, op10_html_tree)}
+    return {f.__name__: f for f in (op1_fertility, op2_deobfuscation, op3_minimax_shards, op4_licences, op5_ngram_jaccard, op6_url_rules, op7_ecoc_language, op8_sentencepiece, op9_wu_manber, op10_html_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
