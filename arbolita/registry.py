@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from arbolita.plans import reports, tree_queries  # noqa: F401
+    from arbolita.plans import reports, text_queries, tree_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
