@@ -61,8 +61,8 @@ def model_type(raw: bytes) -> int:
                 i += 8 if kind == 1 else 4
                 yield key >> 3, None
 
-    spec = next((v for k, v in fields(raw) if k == 2), b"")
-    return next((v for k, v in fields(spec) if k == 3), 1)
+    kinds = [v for k, spec in fields(raw) if k == 2 for j, v in fields(spec) if j == 3]
+    return kinds[-1] if kinds else 1
 
 
 class Model:
