@@ -11,7 +11,7 @@ name says so or that block has at least half of its words. A file without a lice
 directory on its path, found by joining the ancestors of every distinct directory to the licensed directories; of several
 licence files in one directory the best cosine counts.
 
-Defined results: a null or empty text has no licence of its own; a null path has directory null and inherits nothing; ties of
+Defined results: cosines are rounded to nine places; a null or empty text has no licence of its own; a null path has directory null and inherits nothing; ties of
 the cosine go to the licence id first in order, then the block that begins first; repeated rows are judged alike; an empty
 table gives no rows; only the named columns are read.
 """
@@ -87,8 +87,8 @@ class Templates:
     def best(self, words: list[bytes]) -> tuple[str, float] | None:
         v, found = self.vector(words), None
         for name, t in self.vectors:
-            cosine = sum(x * v[w] for w, x in t.items() if w in v)
-            if cosine >= self.least and (found is None or cosine > found[1] + 1e-12):
+            cosine = round(sum(x * v[w] for w, x in t.items() if w in v), 9)
+            if cosine >= self.least and (found is None or cosine > found[1]):
                 found = name, cosine
         return found
 
@@ -113,7 +113,7 @@ class Templates:
         found = None
         for words in blocks:
             got = self.best(words)
-            if got and (found is None or got[1] > found[1] + 1e-12):
+            if got and (found is None or got[1] > found[1]):
                 found = (*got, len(words) / total)
         return found
 
