@@ -28,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +42,16 @@ from arbolita.session import cut
 THRESHOLD = Fraction(13, 20)
 LIST_K, SUBSET_K = 4, 2
 LEAST_BOUNDARY, MOST_BOUNDARY = 8, 64
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 #: Pairs that one verification task holds at a time; a larger neighbourhood is cut into blocks.
 BLOCK_PAIRS = 200_000
+#: So many ids of dropped documents (8 bytes each, some 32 MB as a hash table) go to every executor.
+BROADCAST_IDS = 1_000_000
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -112,12 +113,12 @@ def _spread(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         held = ([], [], [], [])
         total = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                g = runs(text, n, hashes)
+            for doc, text in zip(batch.column(0), batch.column(1)):  # one at a time: a batch of texts is large
+                g = runs(text.as_py(), n, hashes)
                 if not len(g):
                     continue
                 sid = xxhash.xxh3_64_intdigest(g) - (1 << 63)
-                for column, value in zip(held, (sid, doc, len(g), g)):
+                for column, value in zip(held, (sid, doc.as_py(), len(g), g)):
                     column.append(value)
                 total += len(g)
                 if total > _FLUSH:
@@ -134,7 +135,13 @@ def _joined(table: pa.Table, kind: int, dtypes) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(at[c].to_pylist()), t) for c, t in zip("abc", dtypes)]
 
 
-_SHARED = "kind int, sid long, run long, df int, doc_id long, size int, light double"
+#: kind 0: a run and how many sets hold it; kind 1: run is the document, df the size; kind 2: sum of squared and of plain list lengths
+_SHARED = "kind int, sid long, run long, df int"
+
+
+def _table(**columns: np.ndarray) -> pa.Table:
+    pa.default_memory_pool().release_unused()
+    return pa.table(columns)
 
 
 def _shared(buckets: int):
@@ -154,25 +161,16 @@ def _shared(buckets: int):
             each = np.repeat(df, df)
             keep = each > 1
             key, own, each = key[keep], own[keep], each[keep]
-            light = float((df[df > 1].astype(np.float64) ** 2).sum())
+            squares = int((df[df > 1] ** 2).sum())
         else:
-            each, light = np.zeros(0, np.int64), 0.0
+            each, squares = np.zeros(0, np.int64), 0
         s, d, z = _joined(table, 1, (np.int64, np.int64, np.int64))
         k0, k1 = len(key), len(s)
-
-        def column(parts, kind):
-            return pa.array(np.concatenate(parts).astype(kind))
-
-        zeros = lambda m, kind=np.int64: np.zeros(m, kind)
-        return pa.table({
-            "kind": column([zeros(k0), np.ones(k1), [2]], np.int32),
-            "sid": column([own, s, [0]], np.int64),
-            "run": column([(key.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)).view(np.int64), zeros(k1), [0]], np.int64),
-            "df": column([each, zeros(k1), [0]], np.int32),
-            "doc_id": column([zeros(k0), d, [0]], np.int64),
-            "size": column([zeros(k0), z, [k0]], np.int32),
-            "light": pa.array(np.concatenate([zeros(k0 + k1, np.float64), [light]])),
-        })
+        whole = key.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+        return _table(
+            kind=np.repeat(np.arange(3, dtype=np.int32), (k0, k1, 1)), sid=np.concatenate([own, s, [0]]),
+            run=np.concatenate([whole.view(np.int64), d, [squares]]), df=np.concatenate([each, z, [k0]]).astype(np.int32),
+        )
 
     return run
 
@@ -203,7 +201,7 @@ def _keys(x: int, t: Fraction):
     def run(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_numpy()
         sid, run_, df = table["sid"].to_numpy(), table["run"].to_numpy(), table["df"].to_numpy()
-        doc, size = table["doc_id"].to_numpy(), table["size"].to_numpy()
+        doc, size = run_, df
         at = np.flatnonzero(kind == 1)
         at = at[np.lexsort((doc[at], sid[at]))]
         s, d, z = sid[at], doc[at], size[at]
@@ -287,7 +285,7 @@ def _pairs(x: int, t: Fraction):
                     a_.append(s[lo + i])
                     b_.append(s[lo + j])
                     held += len(i)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     _fold(a_, b_, which, got_a, got_b, got_n)
                     a_, b_, held = [], [], 0
             _fold(a_, b_, which, got_a, got_b, got_n)
@@ -344,15 +342,15 @@ def _verify(t: Fraction):
 def similar_pairs(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id_a, doc_id_b, jaccard`` for all pairs of distinct sets at or above ``threshold``, and for copies of a set.
 
-    Buckets are as many as ``spark.sql.shuffle.partitions``; set it so that one holds some millions of words.
+    Buckets are twice as many as ``spark.sql.shuffle.partitions``; set that so that one holds about a million words.
     """
     spark, t = docs.sparkSession, Fraction(threshold)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spread = _spread(narrow, n, buckets)
     shared = cut(spread.groupBy("bucket").applyInArrow(_shared(buckets), _SHARED), "runs")
-    sizes = {r["size"]: r["n"] for r in shared.where("kind = 1").groupBy("size").agg(F.count_distinct("sid").alias("n")).collect()}
-    stats = shared.where("kind = 2").agg(F.sum("light").alias("squares"), F.sum("size").alias("entries")).first()
+    sizes = {r["size"]: r["n"] for r in shared.where("kind = 1").groupBy(F.col("df").alias("size")).agg(F.count_distinct("sid").alias("n")).collect()}
+    stats = shared.where("kind = 2").agg(F.sum("run").alias("squares"), F.sum("df").alias("entries")).first()
     x = boundary(sizes, (stats.squares or 0) / max(1, stats.entries or 0), t)
     by_set = shared.where("kind < 2").withColumn("bucket", F.pmod("sid", F.lit(buckets)))
     keys = cut(by_set.groupBy("bucket").applyInArrow(_keys(x, t), _KEYS), "keys")
@@ -412,4 +410,7 @@ def keep_one_of_each(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOL
     Rows that repeat an id are kept or dropped together.
     """
     gone = components(similar_pairs(docs, n, threshold, id_col, text_col)).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
+    gone = cut(gone, "gone")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else the texts are shuffled by id
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
