@@ -81,3 +81,11 @@ def unified_diff(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     c = c.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
     return trees.unified_diff(c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "before", "text"), "id", "before", "text")
+
+
+@query("navigation_issues")
+def navigation_issues(spark, sf_dir):
+    """Findings of the second dialect's rules in every document."""
+    from arbolita.operators import navigation
+
+    return navigation.issues(nodes.bt_nodes(documents(spark, sf_dir)))
