@@ -135,17 +135,18 @@ def _joined(table: pa.Table, kind: int, dtypes) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(at[c].to_pylist()), t) for c, t in zip("abc", dtypes)]
 
 
-#: kind 0: a run and how many sets hold it; kind 1: run is the document, df the size; kind 2: sum of squared and of plain list lengths
-_SHARED = "kind int, sid long, run long, df int"
+#: by bucket of the set; kind 0: sets, their numbers of runs, the runs (of bucket origin) and how many sets hold each; kind 1 as
+#: it came; kind 2: sum of squared and of plain list lengths, sizes, and how many sets have each
+_SHARED = "bucket int, origin int, kind int, a binary, b binary, c binary, d binary"
 
 
-def _table(**columns: np.ndarray) -> pa.Table:
+def _table(**columns) -> pa.Table:
     pa.default_memory_pool().release_unused()
     return pa.table(columns)
 
 
 def _shared(buckets: int):
-    """Of one bucket: kind 0 (set, run, df) for runs of two or more sets, kind 1 (set, document, size), kind 2 list statistics."""
+    """The runs of one bucket that two or more sets hold, packed for the buckets of those sets."""
 
     def run(table: pa.Table) -> pa.Table:
         sid, count, key = _joined(table, 0, (np.int64, np.uint32, np.uint32))
@@ -153,28 +154,45 @@ def _shared(buckets: int):
         own = np.repeat(sid, count)
         order = np.lexsort((own, key))
         key, own = key[order], own[order]
+        rows, squares = [], 0
         if len(key):
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
             key, own = key[new], own[new]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             df = np.diff(np.append(first, len(key)))
+            squares = int((df[df > 1] ** 2).sum())
             each = np.repeat(df, df)
             keep = each > 1
-            key, own, each = key[keep], own[keep], each[keep]
-            squares = int((df[df > 1] ** 2).sum())
-        else:
-            each, squares = np.zeros(0, np.int64), 0
+            key, own, each = key[keep], own[keep], np.minimum(each[keep], 0xFFFF).astype(np.uint16)
+            to = own % buckets
+            order = np.lexsort((own, to))
+            key, own, each, to = key[order], own[order], each[order], to[order]
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            held = np.diff(np.append(start, len(own))).astype(np.uint32)
+            place = to[start]
+            part = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(start) else []
+            for lo, hi in zip(part, np.append(part[1:], len(start)) if len(start) else []):
+                at = slice(start[lo], start[hi] if hi < len(start) else len(own))
+                rows.append((int(place[lo]), bucket, 0, own[start[lo:hi]].tobytes(), held[lo:hi].tobytes(), key[at].tobytes(), each[at].tobytes()))
         s, d, z = _joined(table, 1, (np.int64, np.int64, np.int64))
-        k0, k1 = len(key), len(s)
-        whole = key.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
-        return _table(
-            kind=np.repeat(np.arange(3, dtype=np.int32), (k0, k1, 1)), sid=np.concatenate([own, s, [0]]),
-            run=np.concatenate([whole.view(np.int64), d, [squares]]), df=np.concatenate([each, z, [k0]]).astype(np.int32),
-        )
+        if len(s):
+            rows.append((bucket, bucket, 1, s.tobytes(), d.tobytes(), z.tobytes(), None))
+        sizes, n = np.unique(z[np.unique(s, return_index=True)[1]], return_counts=True)
+        rows.append((bucket, bucket, 2, np.array([squares, len(key)], np.int64).tobytes(), sizes.tobytes(), n.astype(np.int64).tobytes(), None))
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 4
+        return _table(**{c: pa.array(v, k) for c, v, k in zip("bucket origin kind a b c d".split(), zip(*rows), kinds)})
 
     return run
 
 
+def _statistics(batches):
+    """Sizes and list lengths from the rows of kind 2: size -1 stands for squared lengths, -2 for plain ones."""
+    for batch in batches:
+        for a, b, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            size = np.concatenate([[-1, -2], np.frombuffer(b, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(np.concatenate([np.frombuffer(a, np.int64), np.frombuffer(c, np.int64)]))], names=["size", "n"])
+
+
 def boundary(sizes: dict[int, int], list_length: float, t: Fraction = THRESHOLD) -> int:
     """The x of least cost: keys of the sets up to x, plus list entries of those above t x, each with its share of partners."""
 
@@ -194,24 +212,26 @@ def boundary(sizes: dict[int, int], list_length: float, t: Fraction = THRESHOLD)
 _KEYS = "kind int, key long, sid long, size int, doc_id long, other long, runs binary"
 
 
-def _keys(x: int, t: Fraction):
+def _keys(x: int, t: Fraction, buckets: int):
     """Of the sets of one bucket: kind 0 list keys, kind 1 subset keys, kind 2 the set with its shared runs, kind 3 copies."""
     bridge = least_overlap(x + 1, t)
 
     def run(table: pa.Table) -> pa.Table:
-        kind = table["kind"].to_numpy()
-        sid, run_, df = table["sid"].to_numpy(), table["run"].to_numpy(), table["df"].to_numpy()
-        doc, size = run_, df
-        at = np.flatnonzero(kind == 1)
-        at = at[np.lexsort((doc[at], sid[at]))]
-        s, d, z = sid[at], doc[at], size[at]
+        parts = [(o, *(np.frombuffer(x, t) for x, t in zip(blobs_, (np.int64, np.uint32, np.uint32, np.uint16))))
+                 for o, k, *blobs_ in zip(*(table[c].to_pylist() for c in ("origin", "kind", "a", "b", "c", "d"))) if k == 0]
+        cat = lambda arrays, t: np.concatenate(arrays) if arrays else np.zeros(0, t)
+        rs = cat([np.repeat(x, n) for _, x, n, _, _ in parts], np.int64)
+        rr = cat([(k.astype(np.uint64) * np.uint64(buckets) + np.uint64(o)).view(np.int64) for o, _, _, k, _ in parts], np.int64)
+        df = cat([x for *_, x in parts], np.uint16)
+        rows = np.lexsort((rr, df, rs))
+        rs, rr = rs[rows], rr[rows]
+        s, d, z = _joined(table, 1, (np.int64, np.int64, np.int64))
+        at = np.lexsort((d, s))
+        s, d, z = s[at], d[at], z[at]
         new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
         rep_sid, rep_doc, rep_size = s[new], d[new], z[new]
         rep_of = rep_doc[np.cumsum(new) - 1] if len(s) else d
         copy = (d != rep_of) & np.concatenate([[True], (s[1:] != s[:-1]) | (d[1:] != d[:-1])]) if len(s) else np.zeros(0, bool)
-        rows = np.flatnonzero(kind == 0)
-        rows = rows[np.lexsort((run_[rows], df[rows], sid[rows]))]
-        rs, rr = sid[rows], run_[rows]
         lo, hi = np.searchsorted(rs, rep_sid), np.searchsorted(rs, rep_sid, "right")
         out = {c: [] for c in ("kind", "key", "sid", "size", "doc_id")}
         blobs: list[tuple[int, int, int, bytes]] = []
@@ -349,13 +369,14 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOLD,
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spread = _spread(narrow, n, buckets)
     shared = cut(spread.groupBy("bucket").applyInArrow(_shared(buckets), _SHARED), "runs")
-    sizes = {r["size"]: r["n"] for r in shared.where("kind = 1").groupBy(F.col("df").alias("size")).agg(F.count_distinct("sid").alias("n")).collect()}
-    stats = shared.where("kind = 2").agg(F.sum("run").alias("squares"), F.sum("df").alias("entries")).first()
-    x = boundary(sizes, (stats.squares or 0) / max(1, stats.entries or 0), t)
-    by_set = shared.where("kind < 2").withColumn("bucket", F.pmod("sid", F.lit(buckets)))
-    keys = cut(by_set.groupBy("bucket").applyInArrow(_keys(x, t), _KEYS), "keys")
+    facts = shared.where("kind = 2").select("a", "b", "c").mapInArrow(_statistics, "size long, n long").groupBy("size").agg(F.sum("n").alias("n"))
+    sizes = {r["size"]: r["n"] for r in facts.collect()}
+    squares, entries = sizes.pop(-1, 0), sizes.pop(-2, 0)
+    x = boundary(sizes, squares / max(1, entries), t)
+    keys = cut(shared.where("kind < 2").groupBy("bucket").applyInArrow(_keys(x, t, buckets), _KEYS), "keys")
+    wide = max(1, buckets // 8)  # few and large: a pair's meetings are added up within a bucket
     met = (
-        keys.where("kind < 2").select("kind", "key", "sid", "size", F.pmod(F.col("key"), F.lit(buckets)).alias("bucket"))
+        keys.where("kind < 2").select("kind", "key", "sid", "size", F.pmod(F.col("key"), F.lit(wide)).alias("bucket"))
         .groupBy("bucket").applyInArrow(_pairs(x, t), "a long, b long, times long")
     )
     candidates = cut(met.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= LIST_K).select("a", "b"), "candidates")
@@ -363,10 +384,12 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOLD,
     ends = candidates.select(F.col("a").alias("sid"), "a").unionByName(candidates.select(F.col("b").alias("sid"), "a"))
     name = ends.groupBy("sid").agg(F.min("a").alias("name"))
     named = candidates.join(name.withColumnRenamed("sid", "b"), "b")
-    parts = named.groupBy("name").agg(F.ceil(F.sqrt(F.count("*") / BLOCK_PAIRS)).alias("parts"))
+    parts = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy("name")) / BLOCK_PAIRS))
     block = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
-    placed = cut(named.join(parts, "name").select("a", "b", "name", block("a").alias("i"), block("b").alias("j")), "placed")
-    ids = placed.select("name", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    placed = cut(named.withColumn("parts", parts).select("a", "b", "name", block("a").alias("i"), block("b").alias("j")), "placed")
+    ids = cut(placed.select("name", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct(), "ids")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else the runs of the sets are shuffled once more
+        ids = F.broadcast(ids)
     sets = ids.join(keys.where("kind = 2").select("sid", "size", "doc_id", "runs"), "sid")
     wanted = placed.select("a", "b", *(F.col(c).alias(f"to_{c}") for c in ("name", "i", "j")))
     verified = sets.groupBy("name", "i", "j").cogroup(wanted.groupBy("to_name", "to_i", "to_j")).applyInArrow(
