@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbolita.llm.batches import slices
+
 _TWINS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y",
@@ -178,7 +180,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for kind, lo, hi, value, hidden in spans(text):
@@ -206,7 +208,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column(where).to_pylist()
             new = [masked(t) for t in old]
             columns = list(batch.columns)

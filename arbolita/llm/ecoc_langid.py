@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbolita.llm.batches import slices
+
 _LETTERS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 BUCKETS = 1 << 13
 
@@ -147,7 +149,7 @@ def identify(docs: DataFrame, model: Model, least_gap: float = LEAST_GAP, id_col
     """``doc_id, predicted, loss, gap, ambiguous`` for every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = list(zip(*_decoded(batch.column(1).to_pylist(), model, least_gap))) or [()] * 4
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
@@ -163,7 +165,7 @@ def keep_identified(docs: DataFrame, model: Model, least_gap: float = LEAST_GAP,
     where = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([not x[3] for x in _decoded(batch.column(where).to_pylist(), model, least_gap)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

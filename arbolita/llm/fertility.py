@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbolita.llm.batches import slices
 from arbolita.llm.words import Lexicon, literal, plain_units
 from arbolita.session import cut
 
@@ -132,7 +133,7 @@ def measure(docs: DataFrame, vocabularies: dict[str, str], id_col: str = "doc_id
 
     def run(batches):
         opens = [opened(p) for p in vocabularies.values()]
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             chars = np.array([len(t or "") for t in texts], np.float64)
             columns = [batch.column(0), pa.array([g if g else "script " + script(t) for g, t in zip(langs, texts)], pa.string())]

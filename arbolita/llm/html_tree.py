@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbolita.llm.batches import slices
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("script style noscript template svg math iframe object select textarea title head".split())
@@ -205,7 +207,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """``page_id, text, score, nodes_kept`` of every page."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [extract(p) for p in batch.column(1).to_pylist()]
             text, score, kept = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(

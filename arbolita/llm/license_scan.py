@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbolita.llm.batches import slices
 from arbolita.llm.wu_manber import normal
 from arbolita.session import cut
 
@@ -125,7 +126,7 @@ def _frequencies(files: DataFrame, terms: set[bytes]) -> tuple[dict[bytes, int],
 
     def run(batches):
         n = np.zeros(len(names) + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             n[-1] += batch.num_rows
             for text in batch.column(0).to_pylist():
                 if text:
@@ -148,7 +149,7 @@ def scan(
 
     def run(batches):
         model = Templates(templates, df, n, least_cosine)
-        for batch in batches:
+        for batch in slices(batches):
             got = [model.scan(t) or (None, None, None) for t in batch.column(2).to_pylist()]
             licence, cosine, share = zip(*got) if got else ((), (), ())
             speaks = [

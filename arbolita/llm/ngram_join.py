@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbolita.llm.batches import trim
 from arbolita.llm.wu_manber import normal
 from arbolita.session import cut
 
@@ -43,6 +44,7 @@ THRESHOLD = Fraction(13, 20)
 LIST_K, SUBSET_K = 4, 2
 LEAST_BOUNDARY, MOST_BOUNDARY = 8, 64
 _FLUSH = 500_000
+SLICES = 8
 #: Pairs that one verification task holds at a time; a larger neighbourhood is cut into blocks.
 BLOCK_PAIRS = 200_000
 #: So many ids of dropped documents (8 bytes each, some 32 MB as a hash table) go to every executor.
@@ -126,6 +128,7 @@ def _spread(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                     held, total = ([], [], [], []), 0
         if held[0]:
             yield from flush(*held)
+        trim()
 
     return docs.mapInArrow(run, _RUNS)
 
@@ -135,13 +138,13 @@ def _joined(table: pa.Table, kind: int, dtypes) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(at[c].to_pylist()), t) for c, t in zip("abc", dtypes)]
 
 
-#: by bucket of the set; kind 0: sets, their numbers of runs, the runs (of bucket origin) and how many sets hold each; kind 1 as
+#: by bucket of the set; kind 0: sets, their numbers of runs, the runs (of bucket origin) and the rank of how many sets hold each; kind 1 as
 #: it came; kind 2: sum of squared and of plain list lengths, sizes, and how many sets have each
 _SHARED = "bucket int, origin int, kind int, a binary, b binary, c binary, d binary"
 
 
 def _table(**columns) -> pa.Table:
-    pa.default_memory_pool().release_unused()
+    trim()
     return pa.table(columns)
 
 
@@ -151,19 +154,28 @@ def _shared(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         sid, count, key = _joined(table, 0, (np.int64, np.uint32, np.uint32))
         bucket = table["bucket"][0].as_py()
-        own = np.repeat(sid, count)
-        order = np.lexsort((own, key))
-        key, own = key[order], own[order]
-        rows, squares = [], 0
-        if len(key):
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
-            key, own = key[new], own[new]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            df = np.diff(np.append(first, len(key)))
-            squares = int((df[df > 1] ** 2).sum())
+        names, dense = np.unique(sid, return_inverse=True)
+        dense = np.repeat(dense.astype(np.int32), count)
+        rows, squares, kept = [], 0, []
+        for part in range(SLICES):  # a slice of the runs at a time, to keep the sorting small
+            at = np.flatnonzero(key % np.uint32(SLICES) == part)
+            if not len(at):
+                continue
+            k, o = key[at], dense[at]
+            order = np.lexsort((o, k))
+            k, o = k[order], o[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+            k, o = k[new], o[new]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            df = np.diff(np.append(first, len(k)))
+            squares += int((df[df > 1] ** 2).sum())
             each = np.repeat(df, df)
             keep = each > 1
-            key, own, each = key[keep], own[keep], np.minimum(each[keep], 0xFFFF).astype(np.uint16)
+            # an eighth of a power of two is fine enough for an order, and one byte
+            kept.append((k[keep], o[keep], np.minimum(8 * np.log2(each[keep]), 255).astype(np.uint8)))
+        key = np.concatenate([x for x, _, _ in kept]) if kept else key[:0]
+        if len(key):
+            own, each = names[np.concatenate([x for _, x, _ in kept])], np.concatenate([x for _, _, x in kept])
             to = own % buckets
             order = np.lexsort((own, to))
             key, own, each, to = key[order], own[order], each[order], to[order]
@@ -217,12 +229,12 @@ def _keys(x: int, t: Fraction, buckets: int):
     bridge = least_overlap(x + 1, t)
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [(o, *(np.frombuffer(x, t) for x, t in zip(blobs_, (np.int64, np.uint32, np.uint32, np.uint16))))
+        parts = [(o, *(np.frombuffer(x, t) for x, t in zip(blobs_, (np.int64, np.uint32, np.uint32, np.uint8))))
                  for o, k, *blobs_ in zip(*(table[c].to_pylist() for c in ("origin", "kind", "a", "b", "c", "d"))) if k == 0]
         cat = lambda arrays, t: np.concatenate(arrays) if arrays else np.zeros(0, t)
         rs = cat([np.repeat(x, n) for _, x, n, _, _ in parts], np.int64)
         rr = cat([(k.astype(np.uint64) * np.uint64(buckets) + np.uint64(o)).view(np.int64) for o, _, _, k, _ in parts], np.int64)
-        df = cat([x for *_, x in parts], np.uint16)
+        df = cat([x for *_, x in parts], np.uint8)
         rows = np.lexsort((rr, df, rs))
         rs, rr = rs[rows], rr[rows]
         s, d, z = _joined(table, 1, (np.int64, np.int64, np.int64))
@@ -258,7 +270,7 @@ def _keys(x: int, t: Fraction, buckets: int):
                 put(1, ((mixed[a] * np.uint64(0x9E3779B97F4A7C15) ^ mixed[b]) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), i)
                 some = True
             if some:
-                blobs.append((rep_sid[i], m, rep_doc[i], np.sort(shared).tobytes()))
+                blobs.append((rep_sid[i], m, rep_doc[i], _packed(np.sort(shared))))
         n = sum(map(len, out["key"]))
         k = int(copy.sum())
         ints = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
@@ -308,7 +320,10 @@ def _pairs(x: int, t: Fraction):
                 if held > 1_000_000:
                     _fold(a_, b_, which, got_a, got_b, got_n)
                     a_, b_, held = [], [], 0
+                    if sum(map(len, got_a)) > 2_000_000:
+                        _refold(got_a, got_b, got_n)
             _fold(a_, b_, which, got_a, got_b, got_n)
+        _refold(got_a, got_b, got_n)
         cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(cat(got_a)), "b": pa.array(cat(got_b)), "times": pa.array(cat(got_n).astype(np.int64))})
 
@@ -316,22 +331,47 @@ def _pairs(x: int, t: Fraction):
 
 
 def _fold(a, b, which, got_a, got_b, got_n) -> None:
+    """Add up the meetings of each pair, smaller name first."""
     if not a:
         return
     a, b = np.concatenate(a), np.concatenate(b)
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    lo, hi, n = _added(np.minimum(a, b), np.maximum(a, b), None)
+    got_a.append(lo)
+    got_b.append(hi)
+    got_n.append(n * (LIST_K if which else 1))
+
+
+def _refold(got_a, got_b, got_n) -> None:
+    if len(got_a) > 1:
+        a, b, n = _added(np.concatenate(got_a), np.concatenate(got_b), np.concatenate(got_n))
+        got_a[:], got_b[:], got_n[:] = [a], [b], [n]
+
+
+def _added(lo, hi, n):
     order = np.lexsort((hi, lo))
     lo, hi = lo[order], hi[order]
     first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-    got_a.append(lo[first])
-    got_b.append(hi[first])
-    got_n.append(np.diff(np.append(first, len(lo))) * (LIST_K if which else 1))
+    total = np.diff(np.append(first, len(lo))) if n is None else np.add.reduceat(n[order], first)
+    return lo[first], hi[first], total
+
+
+def _packed(runs_: np.ndarray) -> bytes:
+    """As many low bytes of each as the greatest needs, behind their number."""
+    wide = max(1, (int(runs_.view(np.uint64).max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + np.ascontiguousarray(runs_.view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = raw[0]
+    out = np.zeros(((len(raw) - 1) // wide, 8), np.uint8)
+    out[:, :wide] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, wide)
+    return out.view(np.int64).ravel()
 
 
 def _verify(t: Fraction):
     def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
         sid = sets["sid"].to_numpy()
-        blob = [np.frombuffer(r, np.int64) for r in sets["runs"].to_pylist()]
+        blob = [_unpacked(r) for r in sets["runs"].to_pylist()]
         doc, size = sets["doc_id"].to_numpy(), sets["size"].to_numpy()
         names, dense = np.unique(np.concatenate(blob), return_inverse=True) if blob else (np.zeros(0), np.zeros(0, np.int64))
         parts = np.split(dense, np.cumsum([len(x) for x in blob])[:-1]) if blob else []
@@ -362,10 +402,10 @@ def _verify(t: Fraction):
 def similar_pairs(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id_a, doc_id_b, jaccard`` for all pairs of distinct sets at or above ``threshold``, and for copies of a set.
 
-    Buckets are twice as many as ``spark.sql.shuffle.partitions``; set that so that one holds about a million words.
+    Buckets are half as many as ``spark.sql.shuffle.partitions``; set that so that one holds some five million words.
     """
     spark, t = docs.sparkSession, Fraction(threshold)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spread = _spread(narrow, n, buckets)
     shared = cut(spread.groupBy("bucket").applyInArrow(_shared(buckets), _SHARED), "runs")
@@ -374,7 +414,7 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOLD,
     squares, entries = sizes.pop(-1, 0), sizes.pop(-2, 0)
     x = boundary(sizes, squares / max(1, entries), t)
     keys = cut(shared.where("kind < 2").groupBy("bucket").applyInArrow(_keys(x, t, buckets), _KEYS), "keys")
-    wide = max(1, buckets // 8)  # few and large: a pair's meetings are added up within a bucket
+    wide = max(1, buckets // 4)  # few and large: a pair's meetings are added up within a bucket
     met = (
         keys.where("kind < 2").select("kind", "key", "sid", "size", F.pmod(F.col("key"), F.lit(wide)).alias("bucket"))
         .groupBy("bucket").applyInArrow(_pairs(x, t), "a long, b long, times long")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbolita.llm.batches import slices
+
 _ASCII = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _WIDE = re.compile("[\\u0080-\\u00a9\\u00ab-\\u00b4\\u00b6-\\u00b9\\u00bb-\\u00bf\\u2000-\\u206f\\u3000-\\u303f]")
 #: Test strings are searched in groups of at most so many bytes; each group is one more pass over the texts.
@@ -182,7 +184,7 @@ def contaminated(
     def scan(strings, owners):
         def run(batches):
             search = WuManber(strings)
-            for batch in batches:
+            for batch in slices(batches):
                 doc, out = batch.column(0).to_pylist(), []
                 for at, hits in _occurrences(batch.column(1).to_pylist(), search):
                     per: dict[object, set[int]] = defaultdict(set)
@@ -216,7 +218,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_co
 
         def run(batches, strings=strings):
             search = WuManber(strings)
-            for batch in batches:
+            for batch in slices(batches):
                 keep = np.ones(batch.num_rows, bool)
                 for at, _ in _occurrences(batch.column(where).to_pylist(), search):
                     keep[at] = False
