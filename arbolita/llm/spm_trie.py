@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbolita.llm.batches import slices
 from arbolita.llm.words import Lexicon, literal, plain_units
 
 MARK = "▁"
@@ -97,7 +98,7 @@ class Model:
             for c in reversed(p):
                 node = node.setdefault(c, {})
             node[""] = k
-        self._pair: dict[tuple[int, int], bool] = {}
+        self._pair: dict[int, bool] = {}  # left * size + right
         self._alone: dict[int, bool] = {}
 
     def merged(self, word: str) -> list[int]:
@@ -122,8 +123,8 @@ class Model:
             ok = self._alone[right] = self.merged(self.piece[right]) == [right]
         if left < 0 or not ok:
             return ok
-        if (ok := self._pair.get((left, right))) is None:
-            ok = self._pair[left, right] = self.merged(self.piece[left] + self.piece[right]) == [left, right]
+        if (ok := self._pair.get(left * self.size + right)) is None:
+            ok = self._pair[left * self.size + right] = self.merged(self.piece[left] + self.piece[right]) == [left, right]
         return ok
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -133,7 +134,7 @@ class Model:
         last: list[int] = [-1]  # for each prefix of the word at hand its last piece
         best: list[float] = [0.0]  # and, for a unigram model, its score
         before = ""
-        pair, back, bpe, score = self._pair, self.back, self.bpe, self.score
+        pair, back, bpe, score, size = self._pair, self.back, self.bpe, self.score, self.size
         for k in sorted(range(len(marked)), key=marked.__getitem__):
             word = marked[k]
             if bpe and MARK * 2 in word:  # runs of blanks have equal scores, the leftmost first
@@ -152,7 +153,7 @@ class Model:
                 if bpe:
                     for start, piece in reversed(found):
                         left = last[start] if start else -1
-                        ok = pair.get((left, piece)) if left >= 0 else None
+                        ok = pair.get(left * size + piece) if left >= 0 else None
                         if ok or ok is None and self._valid(left, piece):
                             last.append(piece)
                             break
@@ -210,7 +211,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         model, lexicon = opened(model_file)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             for first, ids, ends in lexicon.documents(texts, units):
                 part = texts[first : first + len(ends)]

@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-MOST_WORDS = 600_000
-_PART = 2_000_000
+MOST_WORDS = 300_000
+_PART = 120_000
 
 
 class Lexicon(dict):
@@ -51,7 +51,7 @@ class Lexicon(dict):
             numbers.append(np.fromiter(map(look, words), np.int32, len(words)))
             counts.append(len(words))
             size += len(words)
-            if size > _PART // 4 or i == len(texts) - 1:
+            if size > _PART or i == len(texts) - 1:
                 yield first, *self._gather(np.concatenate(numbers), np.array(counts))
                 first, numbers, counts, size = i + 1, [], [], 0
                 if len(self) > MOST_WORDS:
