@@ -18,10 +18,14 @@ bounds above.
 Data moves as follows: runs to their list (packed, some 6 bytes a run), runs that two or more sets hold back to their
 set, key rows of the sets that remain to their key, pairs to their neighbourhood for verification.
 
+The search is over sets. ``all_pairs`` then gives every pair of documents: the members of two similar sets crossed, and
+the members of a set among themselves. ``similar_pairs`` is the short form, enough for connected groups: of equal sets each
+copy is paired with the smallest id (Jaccard 1), and only that id is paired with other sets.
+
 Defined results: a null text, one without words, or a row with a null id joins nothing; equal rows count once; pairs have
-doc_id_a < doc_id_b; ties of the threshold count as similar; of equal sets each copy is paired with the smallest id
-(Jaccard 1), and only that id is paired with other sets; an empty table gives no rows; only two columns are read. Sets are
-told apart by 64-bit hashes, runs within a pair by at least 32 bits.
+doc_id_a < doc_id_b; ties of the threshold count as similar; ``all_pairs`` gives a pair once, at the greatest Jaccard where
+an id has several texts; an empty table gives no rows; only two columns are read. Sets are told apart by 64-bit hashes,
+runs within a pair by at least 32 bits.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ SLICES = 8
 BLOCK_PAIRS = 200_000
 #: So many ids of dropped documents (8 bytes each, some 32 MB as a hash table) go to every executor.
 BROADCAST_IDS = 1_000_000
+#: Members of a set that travel in one row; two such rows make at most the square of it in pairs.
+MEMBERS = 500
 
 
 class _Hashes(dict):
@@ -225,7 +231,7 @@ _KEYS = "kind int, key long, sid long, size int, doc_id long, other long, runs b
 
 
 def _keys(x: int, t: Fraction, buckets: int):
-    """Of the sets of one bucket: kind 0 list keys, kind 1 subset keys, kind 2 the set with its shared runs, kind 3 copies."""
+    """Of the sets of one bucket: kind 0 list keys, kind 1 subset keys, kind 2 the set with its shared runs, kind 3 copies (key: place in the set)."""
     bridge = least_overlap(x + 1, t)
 
     def run(table: pa.Table) -> pa.Table:
@@ -244,6 +250,8 @@ def _keys(x: int, t: Fraction, buckets: int):
         rep_sid, rep_doc, rep_size = s[new], d[new], z[new]
         rep_of = rep_doc[np.cumsum(new) - 1] if len(s) else d
         copy = (d != rep_of) & np.concatenate([[True], (s[1:] != s[:-1]) | (d[1:] != d[:-1])]) if len(s) else np.zeros(0, bool)
+        copied = s[copy]
+        place = np.arange(len(copied)) - np.searchsorted(copied, copied) + 1
         lo, hi = np.searchsorted(rs, rep_sid), np.searchsorted(rs, rep_sid, "right")
         out = {c: [] for c in ("kind", "key", "sid", "size", "doc_id")}
         blobs: list[tuple[int, int, int, bytes]] = []
@@ -277,7 +285,7 @@ def _keys(x: int, t: Fraction, buckets: int):
         b = list(zip(*blobs)) or [(), (), (), ()]
         return pa.table({
             "kind": pa.array(np.concatenate([ints["kind"], np.full(len(blobs), 2), np.full(k, 3)]).astype(np.int32)),
-            "key": pa.array(np.concatenate([ints["key"], np.zeros(len(blobs) + k)]).astype(np.int64) if n == 0 else np.concatenate([ints["key"], np.zeros(len(blobs) + k, np.int64)])),
+            "key": pa.array(np.concatenate([ints["key"], np.zeros(len(blobs), np.int64), place]).astype(np.int64)),
             "sid": pa.array(np.concatenate([ints["sid"], np.array(b[0], np.int64), s[copy]]).astype(np.int64)),
             "size": pa.array(np.concatenate([ints["size"], np.array(b[1], np.int32), z[copy]]).astype(np.int32)),
             "doc_id": pa.array(np.concatenate([ints["doc_id"], np.array(b[2], np.int64), rep_of[copy]]).astype(np.int64)),
@@ -389,22 +397,23 @@ def _verify(t: Fraction):
                 common[q] = np.count_nonzero(mark[parts[b[q]]])
             mark[parts[a[lo]]] = False
         union = size[a].astype(np.int64) + size[b] - common
-        keep = (common * t.denominator >= union * t.numerator) & (doc[a] != doc[b])
-        da, db = doc[a][keep], doc[b][keep]
+        keep = common * t.denominator >= union * t.numerator
+        a, b = a[keep], b[keep]
         return pa.table({
-            "doc_id_a": pa.array(np.minimum(da, db).astype(np.int64)), "doc_id_b": pa.array(np.maximum(da, db).astype(np.int64)),
+            "a": pa.array(sid[a].astype(np.int64)), "b": pa.array(sid[b].astype(np.int64)),
+            "doc_a": pa.array(doc[a].astype(np.int64)), "doc_b": pa.array(doc[b].astype(np.int64)),
             "jaccard": pa.array((common[keep] / np.maximum(union[keep], 1)).astype(np.float64)),
         })
 
     return run
 
 
-def similar_pairs(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id_a, doc_id_b, jaccard`` for all pairs of distinct sets at or above ``threshold``, and for copies of a set.
+def _similar_sets(docs: DataFrame, n: int, t: Fraction, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``a, b, doc_a, doc_b, jaccard`` of similar sets with their smallest ids; ``sid, doc_id, other, place`` of copies.
 
     Buckets are half as many as ``spark.sql.shuffle.partitions``; set that so that one holds some five million words.
     """
-    spark, t = docs.sparkSession, Fraction(threshold)
+    spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spread = _spread(narrow, n, buckets)
@@ -433,10 +442,44 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOLD,
     sets = ids.join(keys.where("kind = 2").select("sid", "size", "doc_id", "runs"), "sid")
     wanted = placed.select("a", "b", *(F.col(c).alias(f"to_{c}") for c in ("name", "i", "j")))
     verified = sets.groupBy("name", "i", "j").cogroup(wanted.groupBy("to_name", "to_i", "to_j")).applyInArrow(
-        _verify(t), "doc_id_a long, doc_id_b long, jaccard double"
+        _verify(t), "a long, b long, doc_a long, doc_b long, jaccard double"
     )
-    copies = keys.where("kind = 3").select(F.col("doc_id").alias("doc_id_a"), F.col("other").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return verified.unionByName(copies)
+    return verified, keys.where("kind = 3").select("sid", "doc_id", "other", F.col("key").alias("place"))
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("doc_id_a"), F.greatest(a, b).alias("doc_id_b"), "jaccard")
+
+
+def similar_pairs(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id_a, doc_id_b, jaccard`` for all pairs of distinct sets at or above ``threshold``, and for copies of a set.
+
+    The short form: smallest ids stand for their sets. ``all_pairs`` has every pair of documents.
+    """
+    sets, copies = _similar_sets(docs, n, Fraction(threshold), id_col, text_col)
+    return _ordered(sets, "doc_a", "doc_b").unionByName(_ordered(copies.withColumn("jaccard", F.lit(1.0)), "doc_id", "other"))
+
+
+def all_pairs(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id_a, doc_id_b, jaccard`` for all pairs of documents at or above ``threshold``, each once.
+
+    Members of a set travel in rows of at most ``MEMBERS``, so that the pairs of a large set are made by many tasks.
+    """
+    sets, copies = _similar_sets(docs, n, Fraction(threshold), id_col, text_col)
+    sets = cut(sets, "similar")
+    rows = copies.groupBy("sid", F.floor(F.col("place") / MEMBERS).alias("row")).agg(F.min("doc_id").alias("least"), F.collect_list("other").alias("ids"))
+    least = F.when(F.col("row") == 0, F.array("least")).otherwise(F.array().cast("array<bigint>"))
+    members = cut(rows.select("sid", "row", F.concat(least, "ids").alias("ids")), "members")
+    of = lambda c: members.select(F.col("sid").alias(c), F.col("row").alias(f"row_{c}"), F.col("ids").alias(f"ids_{c}"))
+    one = lambda c: F.coalesce(f"ids_{c}", F.array(f"doc_{c}")).alias(f"ids_{c}")  # noqa: E731 - a set without copies has one member
+    between = sets.join(of("a"), "a", "left").join(of("b"), "b", "left").select(one("a"), one("b"), "jaccard", F.lit(False).alias("same"))
+    within = of("a").join(of("b").withColumnRenamed("b", "a"), "a").where("row_a <= row_b").select("ids_a", "ids_b", F.lit(1.0).alias("jaccard"), (F.col("row_a") == F.col("row_b")).alias("same"))
+    spread = between.unionByName(within).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = spread.select(F.explode("ids_a").alias("u"), "ids_b", "jaccard", "same").select("u", F.explode("ids_b").alias("v"), "jaccard", "same")
+    pairs = _ordered(each.where("not same or u < v"), "u", "v")
+    if docs.groupBy(F.col(id_col).cast("long").alias("i")).count().where("i is not null and count > 1").limit(1).count():
+        pairs = pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    return pairs
 
 
 def components(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b") -> DataFrame:

@@ -39,7 +39,7 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose sets of three-word runs have a Jaccard similarity of 0.65 or more."""
-    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.all_pairs(table(spark, sf_dir, "documents"))
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,52 @@ def test_components(spark):
     pairs = [(1, 2), (2, 3), (10, 11), (12, 11), (5, 4), (20, 3), *((100 + k, 101 + k) for k in range(40))]
     got = {r.doc_id: r.group_id for r in J.components(spark.createDataFrame(pairs, "doc_id_a long, doc_id_b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 20: 1, 10: 10, 11: 10, 12: 10, 4: 4, 5: 4, **{k: 100 for k in range(100, 141)}}
+
+
+def every_pair(rows, n, t):
+    """All pairs of ids with their greatest Jaccard, without collapsing anything."""
+    sets = []
+    for i, text in rows:
+        w = normal(text).split() if text and i is not None else []
+        if w:
+            k = min(n, len(w))
+            sets.append((i, frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1))))
+    want = {}
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            s = Fraction(len(x & y), len(x | y))
+            if s >= t and i != j:
+                p = min(i, j), max(i, j)
+                want[p] = max(want.get(p, 0), float(s))
+    return want
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_all_pairs_of_documents(spark, monkeypatch, repeated):
+    """Copies pair with copies and with near copies, also where the members of a set take several rows."""
+    monkeypatch.setattr(J, "MEMBERS", 4)
+    rows = corpus(7, 120, 30)
+    text = " ".join(f"g{k}" for k in range(40))
+    rows += [(1000 - k, text) for k in range(15)] + [(2000 + k, text.replace("g39", "h")) for k in range(3)] + [(3000, text.replace("g0 ", "z "))]
+    if repeated:  # ids with several texts, and an equal row
+        rows += [(5, text), (1000, text), (1000, text.replace("g39", "h"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.all_pairs(df).collect()
+    want = every_pair(rows, 3, J.THRESHOLD)
+    assert len(got) == len(want)
+    assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in got} == want
+    assert len(want) > len(brute(rows, 3, J.THRESHOLD)) + 100
+
+
+def test_all_pairs_edges(spark):
+    assert [(r.doc_id_a, r.doc_id_b, r.jaccard) for r in J.all_pairs(edge(spark)).collect()] == [(1, 6, 1.0)]
+    assert J.all_pairs(empty(spark)).count() == 0
+
+
+def test_query_gives_all_pairs(spark, tmp_path):
+    from arbolita.llm.queries import op5_ngram_jaccard
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, text) for i in range(4)] + [(9, text + " eleven")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id_a, r.doc_id_b) for r in op5_ngram_jaccard(spark, str(tmp_path)).collect()} == every_pair(rows, 3, J.THRESHOLD).keys()
