@@ -156,7 +156,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, str, bool]]:
     t, found = m.text, []
     if "@" in t:
         found += [("email", x.start(), x.end()) for x in _EMAIL.finditer(t)]
-    for x in _NUMBER.finditer(t) if len(t.encode().translate(None, _NOT_DIGITS)) > 6 else ():  # the costlier patterns only see the neighbourhood of a number
+    for x in _NUMBER.finditer(t) if len(t.encode().translate(None, _NOT_DIGITS)) > 3 else ():  # an IPv4 address has four digits at least; the costlier patterns only see the neighbourhood of a number
         lo, hi = max(0, x.start() - 4), min(len(t), x.end() + 24)
         for kind, pattern in (("phone", _PHONE), ("card", _CARD), ("ipv4", _IPV4)):
             for y in pattern.finditer(t, lo, hi):

@@ -83,3 +83,11 @@ def test_edges(spark):
     by = {x.doc_id: x for x in out.collect()}
     assert by[10].text == "<email>" and by[10].n_chars == 7 and by[2].text is None and by[3].text == "" and by[4].text == LONG
     assert D.find(empty(spark)).count() == 0 and D.redact(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("address", ["10.0.0.1", "8.8.8.8", "127.0.0.1", "1.2.3.40"])
+def test_addresses_of_few_digits(address):
+    """The only digits of the text, or beside others: the same address is found and masked."""
+    for text in (f"the host {address} answers", address, f"é {address}.", f"in 2019 the host {address} cost 300"):
+        assert [(k, text[a:b]) for k, a, b, *_ in D.spans(text)] == [("ipv4", address)]
+        assert D.masked(text) == text.replace(address, "<ipv4>")
