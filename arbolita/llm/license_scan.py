@@ -4,7 +4,9 @@ Words are compared in lower case without separators. A term's document frequency
 file are its lines and its runs of licence-like lines (at least half of the words occur in some template); a block's
 vector is term count x idf, and the licence of the template of highest cosine is the block's if the cosine reaches
 ``least_cosine``. A block can only reach it if it has one of the template's anchors: its heaviest terms, taken until the
-rest of the template's vector is shorter than ``least_cosine``. Only such blocks are compared, and none that counts is missed.
+rest of the template's vector is shorter than ``least_cosine``, and if it still reaches it where words of no template weigh
+least (as if every file held them). Only the words of such blocks are counted besides those of the templates, over all
+files, and their frequencies joined back to the blocks; none that counts is missed.
 
 A file's own licence is that of its best block. It is a licence file, and speaks for its directory and those below, if its
 name says so or that block has at least half of its words. A file without a licence of its own has that of the nearest
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -58,6 +61,9 @@ TEMPLATES = [
 ]
 LICENCE_FILE = re.compile(r"(?i)^(?:un)?(?:licen[cs]es?|copying|copyright|notice)(?:[.\-_].*)?$")
 LEAST_COSINE = 0.7
+#: So many words of candidate blocks go to every task that counts; beyond it all words are counted and shuffled.
+KNOWN_WORDS = 200_000
+_FLUSH = 200_000
 
 
 class Templates:
@@ -65,8 +71,8 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, str]], df: dict[bytes, int], files: int, least: float):
         self.least = least
-        self.idf = {w: math.log((1 + files) / (1 + n)) + 1 for w, n in df.items()}
-        self.most = math.log(1 + files) + 1
+        self.files = files
+        self.idf = {w: self.weight(n) for w, n in df.items()}
         self.vectors: list[tuple[str, dict[bytes, float]]] = []
         self.anchors: set[bytes] = set()
         for name, text in sorted(templates):
@@ -80,25 +86,28 @@ class Templates:
                 rest -= x * x
         self.terms = frozenset(w for _, v in self.vectors for w in v)
 
-    def vector(self, words: list[bytes]) -> dict[bytes, float]:
-        v = {w: n * self.idf.get(w, self.most) for w, n in Counter(words).items()}
+    def weight(self, n: int) -> float:
+        return math.log((1 + self.files) / (1 + n)) + 1
+
+    def vector(self, words: list[bytes], others: dict[bytes, int] | None = None) -> dict[bytes, float]:
+        """``others`` are the frequencies of words that no template has; without it these weigh least."""
+        v = {w: n * (self.idf[w] if w in self.idf else 1.0 if others is None else self.weight(others[w])) for w, n in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()} if norm else {}
 
-    def best(self, words: list[bytes]) -> tuple[str, float] | None:
-        v, found = self.vector(words), None
+    def best(self, words: list[bytes], others: dict[bytes, int] | None, least: float) -> tuple[str, float] | None:
+        v, found = self.vector(words, others), None
         for name, t in self.vectors:
             cosine = round(sum(x * v[w] for w, x in t.items() if w in v), 9)
-            if cosine >= self.least and (found is None or cosine > found[1]):
+            if cosine >= least and (found is None or cosine > found[1]):
                 found = name, cosine
         return found
 
-    def scan(self, text: str | None) -> tuple[str, float, float] | None:
-        """(licence, cosine, share of the file's words) of the best block."""
+    def blocks(self, text: str | None) -> tuple[int, list[list[bytes]]]:
+        """How many words the text has, and the blocks that could reach the cosine (no words are counted where there is none)."""
         if not text or self.anchors.isdisjoint(normal(text).split()):
-            return None
+            return 0, []
         lines = [w for w in (normal(x).split() for x in text.split("\n")) if w]
-        total = sum(map(len, lines))
         blocks, held = [], []
         for words in [*lines, []]:
             if words and not self.anchors.isdisjoint(words):
@@ -111,9 +120,13 @@ class Templates:
                 if not self.anchors.isdisjoint(run):
                     blocks.append(run)
             held = []
+        return sum(map(len, lines)), [b for b in blocks if self.best(b, None, self.least - 1e-6)]
+
+    def judge(self, total: int, blocks: list[list[bytes]], others: dict[bytes, int]) -> tuple[str, float, float] | None:
+        """(licence, cosine, share of the file's words) of the best block."""
         found = None
         for words in blocks:
-            got = self.best(words)
+            got = self.best(words, others, self.least)
             if got and (found is None or got[1] > found[1]):
                 found = (*got, len(words) / total)
         return found
@@ -139,6 +152,30 @@ def _frequencies(files: DataFrame, terms: set[bytes]) -> tuple[dict[bytes, int],
     return {w: n.get(k, 0) for w, k in place.items()}, n.get(len(names), 0)
 
 
+def _counted(files: DataFrame, words: DataFrame) -> DataFrame:
+    """``word, n``: in how many files each of ``words`` (distinct) occurs."""
+    some = words.limit(KNOWN_WORDS + 1).collect()
+    known = frozenset(bytes(r.word) for r in some) if len(some) <= KNOWN_WORDS else None
+
+    def packed(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    def run(batches):
+        n = Counter()
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                if text:
+                    held = normal(text).split()
+                    n.update(set(held) if known is None else known.intersection(held))
+                    if len(n) > _FLUSH:
+                        yield packed(n)
+                        n = Counter()
+        yield packed(n)
+
+    counts = files.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts if known is not None else counts.join(words, "word", "left_semi")
+
+
 def scan(
     files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least_cosine: float = LEAST_COSINE,
     id_col: str = "doc_id", path_col: str = "path", text_col: str = "text",
@@ -147,10 +184,29 @@ def scan(
     f = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     df, n = _frequencies(f, {w for _, t in templates for w in normal(t).split()})
 
+    def look(batches):
+        model, task, k = Templates(templates, df, n, least_cosine), uuid.uuid4().hex, 0
+        for batch in slices(batches):
+            keys, totals, found, words = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                total, blocks = model.blocks(text)
+                k += 1
+                keys.append(f"{task}-{k}" if blocks else None)
+                totals.append(total)
+                found.append([b" ".join(b) for b in blocks])
+                words.append(sorted({w for b in blocks for w in b} - model.terms))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(totals, pa.int64()), pa.array(found, pa.list_(pa.binary())), pa.array(words, pa.list_(pa.binary()))],
+                names=["doc_id", "path", "key", "total", "blocks", "words"],
+            )
+
     def run(batches):
         model = Templates(templates, df, n, least_cosine)
         for batch in slices(batches):
-            got = [model.scan(t) or (None, None, None) for t in batch.column(2).to_pylist()]
+            got = []
+            for total, blocks, others in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                counts = {o["word"]: o["n"] for o in others or ()}
+                got.append(model.judge(total, [b.split(b" ") for b in blocks], counts) or (None, None, None))
             licence, cosine, share = zip(*got) if got else ((), (), ())
             speaks = [
                 x is not None and p is not None and (s >= 0.5 or LICENCE_FILE.match(p.rsplit("/", 1)[-1]) is not None)
@@ -161,7 +217,13 @@ def scan(
                 names=["doc_id", "path", "own", "own_cosine", "speaks"],
             )
 
-    own = f.mapInArrow(run, "doc_id long, path string, own string, own_cosine double, speaks boolean")
+    looked = cut(f.mapInArrow(look, "doc_id long, path string, key string, total long, blocks array<binary>, words array<binary>"), "blocks")
+    each = looked.where("key is not null").select("key", F.explode("words").alias("word"))
+    counts = _counted(f, each.select("word").distinct())
+    others = each.join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("others"))
+    some = looked.where("key is not null").join(others, "key", "left").select("doc_id", "path", "total", "blocks", "others")
+    rest = looked.where("key is null").select("doc_id", "path", "total", "blocks", F.lit(None).cast("array<struct<word: binary, n: bigint>>").alias("others"))
+    own = some.unionByName(rest).mapInArrow(run, "doc_id long, path string, own string, own_cosine double, speaks boolean")
     steps = F.split("path", "/")
     own = own.withColumn("dir", F.array_join(F.slice(steps, F.lit(1), F.greatest(F.size(steps) - 1, F.lit(0))), "/"))
     own = cut(own, "licences")

@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from arbolita.llm import license_scan as L
 from tests.llm.edges import edge, empty
 
@@ -83,3 +85,26 @@ def test_edges(spark):
     rows = [(1, "LICENSE", "Released under the MIT License"), (2, "a/b/c.py", "x = 1"), (3, None, "x"), (4, "", None)]
     got = {x.doc_id: (x.licence, x.how, x.from_dir) for x in L.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", ""), 3: (None, "none", None), 4: ("MIT", "inherited", "")}
+
+
+@pytest.mark.parametrize("known", [0, L.KNOWN_WORDS])
+def test_ordinary_words_weigh_by_their_frequency(spark, monkeypatch, known):
+    """A notice with words that every file has is found, at the cosine of frequencies over all words."""
+    monkeypatch.setattr(L, "KNOWN_WORDS", known)
+    notice = "Released under the MIT License station river house garden mountain evening"
+    rows = [(k, f"d{k}/f.txt", f"station river house garden\nmountain evening w{k}") for k in range(200)]
+    rows += [(500, "n/LICENSE", notice + "\n" + rows[0][2]), (501, "n/a.py", None), (502, "m/LICENSE", "Released under the MIT License q1 q2 q3 q4 q5 q6")]
+    df = Counter(w for _, _, t in rows for w in set(L.normal(t or "").split()))
+
+    def vector(text):
+        v = {w: n * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in Counter(L.normal(text).split()).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    a, b = vector(notice), vector("Released under the MIT License")
+    want = sum(x * a.get(w, 0) for w, x in b.items())
+    got = {x.doc_id: x for x in L.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert len(got) == len(rows)
+    assert (got[500].licence, got[500].how) == ("MIT", "own") and got[500].cosine == pytest.approx(want, abs=1e-8)
+    assert (got[501].licence, got[501].how, got[501].from_dir) == ("MIT", "inherited", "n")
+    assert got[502].how == "none"
