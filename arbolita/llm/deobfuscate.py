@@ -6,7 +6,7 @@ edits is copied, so the composition is a piecewise map from positions of the nor
 1. characters: homoglyphs of other scripts, full-width forms and foreign digits become their ASCII twins, invisible
    characters vanish;
 2. spelled digits: a run of at least seven digit words ("five oh one ...") becomes digits;
-3. at/dot disguises: "(at)", "[dot]", " at ... dot ..." between address-like words become "@" and "."; the last label must be a
+3. at/dot disguises: "(at)", "[dot]", " at ... dot ...", in capitals or not, between address-like words become "@" and "."; the last label must be a
    common top-level domain.
 
 Identifiers are then matched on the normalised text and every span is mapped back: [start, end) counts characters (code
@@ -46,14 +46,14 @@ _WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _FAST_WORD = "(?=[zotfsen])" + _WORD
 _SPELLED = re.compile(rf"(?i)\b{_FAST_WORD}(?:[ \-.,]{{1,3}}{_WORD}){{6,}}\b")
 _EACH = re.compile(rf"(?i){_WORD}")
-_AT = r"(?:\s?[\(\[\{<]\s?(?:at|@)\s?[\)\]\}>]\s?|\s(?:at|AT)\s)"
-_DOT = r"(?:\s?[\(\[\{<]\s?(?:dot|\.)\s?[\)\]\}>]\s?|\s(?:dot|DOT)\s)"
+_AT = r"(?:\s?[\(\[\{<]\s?(?:(?i:at)|@)\s?[\)\]\}>]\s?|\s(?i:at)\s)"
+_DOT = r"(?:\s?[\(\[\{<]\s?(?:(?i:dot)|\.)\s?[\)\]\}>]\s?|\s(?i:dot)\s)"
 _NAME, _HOST = r"[A-Za-z0-9_%+\-]{1,64}", r"[A-Za-z0-9\-]{1,63}"
 # a bare " at " counts only with a spelled dot behind it; a bracketed one or a real "@" also with a plain dot
 _DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9]){_NAME}(?:(?:{_DOT}|\.){_NAME}){{0,4}}"
     rf"(?:(?:{_AT}|@){_HOST}(?:\.{_HOST}){{0,4}}{_DOT}{_HOST}(?:(?:{_DOT}|\.){_HOST}){{0,4}}"
-    rf"|\s?[\(\[\{{<]\s?(?:at|@)\s?[\)\]\}}>]\s?{_HOST}(?:\.{_HOST}){{1,4}})(?![A-Za-z0-9])"
+    rf"|\s?[\(\[\{{<]\s?(?:(?i:at)|@)\s?[\)\]\}}>]\s?{_HOST}(?:\.{_HOST}){{1,4}})(?![A-Za-z0-9])"
 )
 _TLD = frozenset(
     "com org net edu gov mil int info biz name io ai app dev co me tv us uk ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg "

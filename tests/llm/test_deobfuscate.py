@@ -91,3 +91,12 @@ def test_addresses_of_few_digits(address):
     for text in (f"the host {address} answers", address, f"é {address}.", f"in 2019 the host {address} cost 300"):
         assert [(k, text[a:b]) for k, a, b, *_ in D.spans(text)] == [("ipv4", address)]
         assert D.masked(text) == text.replace(address, "<ipv4>")
+
+
+@pytest.mark.parametrize("written", [
+    "john (AT) example (DOT) com", "john [AT] example.com", "john[AT]example[DOT]com", "john {At} example <Dot> com", "john At example Dot com",
+])
+def test_disguises_in_capitals(written):
+    assert [(k, v) for k, _, _, v, _ in D.spans(f"mail {written} now")] == [("email", "john@example.com")]
+    assert D.masked(f"mail {written} now") == "mail <email> now"
+    assert D.spans("Look AT the DOT matrix, [AT] noon (DOT) done") == []
