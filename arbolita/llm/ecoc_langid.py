@@ -3,7 +3,10 @@
 Each language has a codeword of bits; one binary classifier per bit reads hashed byte n-grams (2 and 3 bytes of the lower
 case letters, other ASCII taken as one blank) of the whole text and predicts that bit. Decoding is loss-weighted: a
 language's loss is the sum over bits of weight x log(1 + exp(-bit x score)), the weight being the bit classifier's accuracy
-above chance; the codeword of least loss wins. A text is ambiguous where the runner-up is nearer than ``least_gap``.
+above chance; the codeword of least loss wins. A text is ambiguous where the runner-up is nearer than ``least_gap``, or
+where the least loss is over the model's ``most_loss``: it lies far from every codeword, as mixed, foreign and random texts
+do. Both bounds come from the labelled sample: a quarter of the gap that 99 of 100 of its texts reach, and the loss at which
+a bit is right with probability 0.9, or twice the loss that 99 of 100 texts keep to where that is more.
 
 Training reads a bounded sample of labelled rows: about ``per_label`` of each label, chosen by a hash of the id. Everything
 else covers all rows.
@@ -15,6 +18,7 @@ predicted with a null gap and nothing is ambiguous; an empty table gives no rows
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -72,6 +76,8 @@ class Model:
     weight: np.ndarray
     bias: np.ndarray
     bit_weight: np.ndarray
+    least_gap: float = 0.0
+    most_loss: float = float("inf")
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Loss of each label (columns) for each row of features."""
@@ -101,7 +107,11 @@ def fit(texts: list[str], labels: list[str], steps: int = 150, rate: float = 0.5
         w += vw
         b += vb
     right = ((x @ w + b) * y > 0).mean(0)
-    return Model(names, code, w, b, np.maximum(2 * right - 1, 0.05))
+    model = Model(names, code, w, b, np.maximum(2 * right - 1, 0.05))
+    loss = np.sort(np.concatenate([model.losses(x[lo : lo + 256]) for lo in range(0, len(x), 256)]), 1)
+    model.least_gap = float(np.quantile(loss[:, 1] - loss[:, 0], 0.01)) / 4
+    model.most_loss = max(-math.log(0.9), 2 * float(np.quantile(loss[:, 0], 0.99)))
+    return model
 
 
 def train(docs: DataFrame, per_label: int = 400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
@@ -124,11 +134,12 @@ def train(docs: DataFrame, per_label: int = 400, id_col: str = "doc_id", text_co
     return fit(texts, labels)
 
 
-def _decoded(texts: list[str | None], model: Model, least_gap: float) -> list[tuple]:
+def _decoded(texts: list[str | None], model: Model, least_gap: float | None) -> list[tuple]:
     """(language, loss, gap, ambiguous) of each text."""
     out: list[tuple] = [("und", None, None, True)] * len(texts)
     if not model.labels:
         return out
+    least_gap = model.least_gap if least_gap is None else least_gap
     for lo in range(0, len(texts), 256):
         raw = [(i, r) for i, r in ((i, letters(t)) for i, t in enumerate(texts[lo : lo + 256], lo)) if r]
         if not raw:
@@ -137,15 +148,15 @@ def _decoded(texts: list[str | None], model: Model, least_gap: float) -> list[tu
         best = loss.argmin(1)
         for (i, _), k, row in zip(raw, best.tolist(), loss):
             gap = float(np.partition(row, 1)[1] - row[k]) if len(row) > 1 else None
-            out[i] = (model.labels[k], float(row[k]), gap, gap is not None and gap < least_gap)
+            out[i] = (model.labels[k], float(row[k]), gap, gap is not None and (gap < least_gap or float(row[k]) > model.most_loss))
     return out
 
 
-#: A runner-up whose mean loss per bit is nearer than this leaves the text ambiguous.
-LEAST_GAP = 0.05
+#: A runner-up whose mean loss per bit is nearer than this leaves the text ambiguous; None: the model's own bound.
+LEAST_GAP = None
 
 
-def identify(docs: DataFrame, model: Model, least_gap: float = LEAST_GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, least_gap: float | None = LEAST_GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, predicted, loss, gap, ambiguous`` for every row."""
 
     def run(batches):
@@ -160,7 +171,7 @@ def identify(docs: DataFrame, model: Model, least_gap: float = LEAST_GAP, id_col
     return narrow.mapInArrow(run, "doc_id long, predicted string, loss double, gap double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model, least_gap: float = LEAST_GAP, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least_gap: float | None = LEAST_GAP, text_col: str = "text") -> DataFrame:
     """The rows whose language is certain; columns, names and types as they came."""
     where = docs.columns.index(text_col)
 

@@ -53,3 +53,15 @@ def test_edges(spark):
     assert kept.schema == df.schema and {2, 3, 7, 8}.isdisjoint({r.doc_id for r in kept.collect()})
     assert L.identify(empty(spark), L.train(empty(spark))).count() == 0
     assert all(r.predicted == "und" for r in L.identify(df, L.train(empty(spark))).collect())
+
+
+def test_mixed_foreign_and_random_texts_are_ambiguous():
+    t = texts(5, 400)
+    model = L.fit([x[1] for x in t], [x[2] for x in t])
+    flagged = lambda ts: np.mean([x[3] for x in L._decoded(ts, model, L.LEAST_GAP)])
+    r = random.Random(6)
+    mixed = [" ".join([*r.choices(WORDS[a], k=15), *r.choices(WORDS[b], k=15)]) for _ in range(100) for a, b in [r.sample(sorted(WORDS), 2)]]
+    junk = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(30)) for _ in range(100)]
+    foreign = ["これは日本語の文章です。今日は天気がとてもいいので散歩に行きました", "Это русский текст о погоде и о том как мы гуляли в парке", "這是一個中文句子我們今天去公園散步"]
+    assert flagged([x[1] for x in texts(7, 300)]) < 0.01
+    assert flagged(mixed) > 0.8 and flagged(junk) > 0.9 and flagged(foreign) == 1
