@@ -13,7 +13,8 @@ else covers all rows.
 
 Defined results: a null text, or one without letters, has language ``und``, null loss and gap, and is ambiguous; ties of
 the loss go to the label first in order; rows with a null label train nothing; with one label only, that label is
-predicted with a null gap and nothing is ambiguous; an empty table gives no rows; repeated rows are predicted alike.
+predicted with a null gap and nothing is ambiguous; without any label a text with letters is ``und`` too, but ambiguous is
+null and ``keep_identified`` keeps it; an empty table gives no rows; repeated rows are predicted alike.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def _decoded(texts: list[str | None], model: Model, least_gap: float | None) ->
     """(language, loss, gap, ambiguous) of each text."""
     out: list[tuple] = [("und", None, None, True)] * len(texts)
     if not model.labels:
-        return out
+        return [("und", None, None, None if letters(t) else True) for t in texts]
     least_gap = model.least_gap if least_gap is None else least_gap
     for lo in range(0, len(texts), 256):
         raw = [(i, r) for i, r in ((i, letters(t)) for i, t in enumerate(texts[lo : lo + 256], lo)) if r]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from arbolita.llm import ecoc_langid as L
 from tests.llm.edges import edge, empty
@@ -65,3 +66,12 @@ def test_mixed_foreign_and_random_texts_are_ambiguous():
     foreign = ["これは日本語の文章です。今日は天気がとてもいいので散歩に行きました", "Это русский текст о погоде и о том как мы гуляли в парке", "這是一個中文句子我們今天去公園散步"]
     assert flagged([x[1] for x in texts(7, 300)]) < 0.01
     assert flagged(mixed) > 0.8 and flagged(junk) > 0.9 and flagged(foreign) == 1
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    df = edge(spark).withColumn("lang", F.lit(None).cast("string"))
+    model = L.train(df)
+    got = L.identify(df, model).collect()
+    assert all(r.predicted == "und" for r in got)
+    assert {r.doc_id for r in got if r.ambiguous is None} == {1, 4, 5, 6, None} and all(r.ambiguous for r in got if r.doc_id in (2, 3, 7, 8))
+    assert sorted(r.doc_id or 0 for r in L.keep_identified(df, model).collect()) == [0, 1, 4, 5, 6, 6]
