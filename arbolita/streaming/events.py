@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,15 +11,31 @@ from pyspark.sql import functions as F
 
 from arbolita.session import shared_folder
 
+SENTINEL = "9000-01-01 00:00:00"
 
-def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as a stream; its time is a zoned timestamp, which watermarks need."""
+
+def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a stream; its time is a zoned timestamp, which watermarks need.
+
+    All files come in one trigger unless told otherwise: a watermark set by one file would drop older rows of the next.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet")
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    if files_per_trigger is not None:
+        source = source.option("maxFilesPerTrigger", files_per_trigger)
     stream = source.parquet(f"{sf_dir}/events*.parquet")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def closed(events: DataFrame) -> DataFrame:
+    """The events and one of no user and no id, far behind all others: with it the watermark passes every open window. Drop its results."""
+    spark = events.sparkSession
+    at = f"{shared_folder(spark)}/arbolita/sentinel-{uuid.uuid4().hex}"
+    spark.sql(f"SELECT timestamp'{SENTINEL}' AS ts").write.parquet(at)
+    last = spark.readStream.schema("ts timestamp").parquet(at)
+    return events.unionByName(last, allowMissingColumns=True)
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     w = F.window("ts", width)
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
@@ -29,8 +46,10 @@ def sliding(events: DataFrame, width: str = "2 hours", step: str = "1 hour", lat
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions of each user, those still open at the end of the table too."""
+    events = closed(events)
     s = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy(s, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+    return events.withWatermark("ts", late).groupBy(s, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n").where(F.col("start") < F.lit(SENTINEL).cast("timestamp"))
 
 
 def without_repeats(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -62,8 +81,6 @@ def attempts(events: DataFrame, most: int = 3) -> DataFrame:
 
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return its rows; sink and checkpoint are in the shared folder."""
-    import uuid
-
     at = f"{shared_folder(stream.sparkSession)}/arbolita/stream-{name}-{uuid.uuid4().hex}"
     if mode == "append":
         stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
