@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +171,8 @@ def contaminated(
 
     ``doc_id, item_id, n_matched`` (distinct runs of the item that the document holds) and ``coverage`` (their share).
     The test strings are read on the driver and travel with the task; beyond ``GROUP_BYTES`` they are searched in
-    several passes, so an executor never holds more than one group's tables.
+    several passes, so an executor never holds more than one group's tables. Rows of equal id and text have equal results
+    in every pass: passes are added up by id and digest of the text, and the sum given as often as the row came.
     """
     items = _items(benchmark, item_col, item_text)
     schema = "doc_id long, item_id long, n_matched long, coverage double"
@@ -181,33 +183,39 @@ def contaminated(
     total = {i: len(s) for i, s in strings_of.items()}
     ids = [i for i, _ in items]
 
-    def scan(strings, owners):
+    parts = _groups(items, n)
+    several = len(parts) > 1
+    names, kinds = ["doc_id", "item_id", "n_matched", "coverage"], [pa.int64()] * 3 + [pa.float64()]
+    if several:
+        names, kinds = [*names, "digest", "part"], [*kinds, pa.binary(), pa.int32()]
+
+    def scan(part, strings, owners):
         def run(batches):
             search = WuManber(strings)
             for batch in slices(batches):
-                doc, out = batch.column(0).to_pylist(), []
-                for at, hits in _occurrences(batch.column(1).to_pylist(), search):
+                doc, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+                for at, hits in _occurrences(texts, search):
+                    more = (xxhash.xxh3_128_digest(texts[at].encode()), part) if several else ()
                     per: dict[object, set[int]] = defaultdict(set)
                     for k in hits:
                         for o in owners[k]:
                             per[ids[o]].add(k)
-                    out += [(doc[at], i, len(s), len(s) / total[i]) for i, s in per.items()]
+                    out += [(doc[at], i, len(s), len(s) / total[i], *more) for i, s in per.items()]
                 if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.float64()])],
-                        names=["doc_id", "item_id", "n_matched", "coverage"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-        return narrow.mapInArrow(run, schema)
+        return narrow.mapInArrow(run, schema + ", digest binary, part int" if several else schema)
 
-    found = [scan(strings, owners) for strings, owners in _groups(items, n)]
+    found = [scan(k, *group) for k, group in enumerate(parts)]
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
     if len(found) == 1:
         return found[0]
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(
-        F.sum("n_matched").alias("n_matched"), F.sum("coverage").alias("coverage")
+    each = reduce(DataFrame.unionByName, found).groupBy("doc_id", "digest", "item_id", "part").agg(
+        F.count("*").alias("times"), F.max("n_matched").alias("n_matched"), F.max("coverage").alias("coverage")
     )
+    added = each.groupBy("doc_id", "digest", "item_id").agg(F.max("times").alias("times"), F.sum("n_matched").alias("n_matched"), F.sum("coverage").alias("coverage"))
+    return added.select("doc_id", "item_id", "n_matched", "coverage", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

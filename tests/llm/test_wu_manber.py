@@ -69,3 +69,15 @@ def test_groups_give_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and then the dog came in", 1, 1)], BENCH)
     got = [(x.doc_id, x.n_matched, round(x.coverage, 9)) for x in W.contaminated(edge(spark).where("doc_id = 1"), bench).collect()]
     assert got == [(1, 5, 1.0)]
+
+
+def test_repeated_rows_and_null_ids_with_several_groups(spark):
+    """A short item beside a long one makes two groups; each document row still gives its own row."""
+    long = "the cat sat on the mat and then the dog came in"
+    bench = spark.createDataFrame([(1, long, 1, 1), (1, "qq zz", 1, 1), (2, "qq zz", 1, 1)], BENCH)
+    assert len(W._groups([(1, long), (1, "qq zz"), (2, "qq zz")], 8)) == 2
+    docs = [(6, f"{long} qq zz"), (6, f"{long} qq zz"), (None, f"x {long}"), (None, "y qq zz"), (7, "the dog")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id or 0, x.item_id, x.n_matched, round(x.coverage, 9)) for x in W.contaminated(df, bench).collect())
+    part = lambda k: round(k / 6, 9)
+    assert got == [(0, 1, 1, part(1)), (0, 1, 5, part(5)), (0, 2, 1, 1.0), (6, 1, 6, 1.0), (6, 1, 6, 1.0), (6, 2, 1, 1.0), (6, 2, 1, 1.0)]
