@@ -6,10 +6,16 @@ import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 ROWS = 500
 
 
+def id_type(docs: DataFrame, id_col: str) -> str:
+    """The type of the ids as Spark writes it; results carry ids of any type as they came."""
+    return docs.schema[id_col].dataType.simpleString()
+
+
 def trim() -> None:
     """Give freed memory back: a worker lives on for other stages' tasks."""
     pa.default_memory_pool().release_unused()

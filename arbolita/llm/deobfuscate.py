@@ -5,18 +5,20 @@ edits is copied, so the composition is a piecewise map from positions of the nor
 
 1. characters: homoglyphs of other scripts, full-width forms and foreign digits become their ASCII twins, invisible
    characters vanish;
-2. spelled digits: a run of at least seven digit words ("five oh one ...") becomes digits;
-3. at/dot disguises: "(at)", "[dot]", " at ... dot ...", in capitals or not, between address-like words become "@" and "."; the last label must be a
-   common top-level domain.
+2. spelled digits: a run of at least seven digit words ("five oh one ...", English, German, French or Spanish) becomes digits;
+3. at/dot disguises: "(at)", "[dot]", " at ... dot ...", in capitals or not, between address-like words become "@" and ".". Where
+   there is no bracket or sign, only bare words, the last label must be a common top-level domain, as "at" and "dot" are words.
 
 Identifiers are then matched on the normalised text and every span is mapped back: [start, end) counts characters (code
-points) of the source. Kinds: email, phone, card (13 to 19 digits, blanks or hyphens between groups), ipv4, secret
-(a named token, key or password with a value of 16 or more signs). Overlapping spans are resolved in favour of the earlier,
-then the longer, then the kind named first here.
+points) of the source. Kinds: email; phone (with "+", brackets or parted groups; ten bare digits only behind a word such as
+"tel" or where they were spelled out); card (13 to 19 digits, blanks or hyphens between groups, first digit 2 to 6, with a
+valid Luhn checksum); ipv4; secret (a named token, key or password with a value of 16 or more signs). Overlapping spans are
+resolved in favour of the earlier, then the longer, then the kind named first here. Each kind has its own cheap test of
+whether a stretch can hold it; none depends on the rest of the text.
 
 Defined results: a null or empty text has no spans; text without identifiers is untouched; equal texts get equal spans;
-an empty table gives no rows; rows with a null id are reported with that id; other columns are not read by ``find`` and
-come back unchanged from ``redact``.
+an empty table gives no rows; rows with a null id are reported with that id; ids keep their type; other columns are not read
+by ``find`` and come back unchanged from ``redact``, but for a length column of whole numbers.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from arbolita.llm.batches import slices
+from arbolita.llm.batches import id_type, slices
 
 _TWINS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
@@ -41,34 +44,42 @@ _TWINS |= {chr(base + d): str(d) for base in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D
 _TWINS |= {c: "" for c in "\u00ad\u200b\u200c\u200d\u2060\ufeff"}
 _STRANGE = re.compile("[" + "".join(map(re.escape, _TWINS)) + "]")
 
-_DIGIT = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_FAST_WORD = "(?=[zotfsen])" + _WORD
-_SPELLED = re.compile(rf"(?i)\b{_FAST_WORD}(?:[ \-.,]{{1,3}}{_WORD}){{6,}}\b")
+_DIGIT = {
+    w: str(d)
+    for words in (
+        "zero one two three four five six seven eight nine", "oh", "null eins zwei drei vier fünf sechs sieben acht neun", "null ein zwo",
+        "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for d, w in enumerate(words.split())
+}
+_WORD = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
+_SPELLED = re.compile(rf"(?i)\b{_WORD}(?:[ \-.,]{{1,3}}{_WORD}){{6,}}\b")
 _EACH = re.compile(rf"(?i){_WORD}")
+_SEVEN = b"\x01" * 7
 _AT = r"(?:\s?[\(\[\{<]\s?(?:(?i:at)|@)\s?[\)\]\}>]\s?|\s(?i:at)\s)"
 _DOT = r"(?:\s?[\(\[\{<]\s?(?:(?i:dot)|\.)\s?[\)\]\}>]\s?|\s(?i:dot)\s)"
 _NAME, _HOST = r"[A-Za-z0-9_%+\-]{1,64}", r"[A-Za-z0-9\-]{1,63}"
 # a bare " at " counts only with a spelled dot behind it; a bracketed one or a real "@" also with a plain dot
 _DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9]){_NAME}(?:(?:{_DOT}|\.){_NAME}){{0,4}}"
-    rf"(?:(?:{_AT}|@){_HOST}(?:\.{_HOST}){{0,4}}{_DOT}{_HOST}(?:(?:{_DOT}|\.){_HOST}){{0,4}}"
-    rf"|\s?[\(\[\{{<]\s?(?:(?i:at)|@)\s?[\)\]\}}>]\s?{_HOST}(?:\.{_HOST}){{1,4}})(?![A-Za-z0-9])"
+    rf"(?<![A-Za-z0-9]){_NAME}(?:(?:{_DOT}|\.){_NAME}){{0,126}}"
+    rf"(?:(?:{_AT}|@){_HOST}(?:\.{_HOST}){{0,126}}{_DOT}{_HOST}(?:(?:{_DOT}|\.){_HOST}){{0,126}}"
+    rf"|\s?[\(\[\{{<]\s?(?:(?i:at)|@)\s?[\)\]\}}>]\s?{_HOST}(?:\.{_HOST}){{1,126}})(?![A-Za-z0-9])"
 )
 _TLD = frozenset(
     "com org net edu gov mil int info biz name io ai app dev co me tv us uk ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg "
     "se no dk fi is ee lv lt ru ua tr il in cn jp kr tw hk sg my th id ph vn br mx ar cl pe za ng ke eg eu cat xyz site online store tech".split()
 )
 _BRACKETED = tuple(b + g + w for b in "([{<" for g in ("", " ") for w in ("at", "@"))
+_OPEN = re.compile(r"[(\[{<@]")
 _INNER = re.compile(rf"(?P<at>{_AT}|@)|(?P<dot>{_DOT})")
 
-_NOT_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
-_SPACED = str.maketrans("-.,", "   ")
 _KINDS = ("email", "phone", "card", "ipv4", "secret")
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
-_NUMBER = re.compile(r"(?:\+|\()?\d[\d ().\-]{5,28}\d")
+_NUMBER = re.compile(r"[+(]*\d[\d ().\-]{5,}")
 _IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 _PHONE = re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4}(?!\d)")
+_BARE = re.compile(r"\d{10}")
+_CALL = re.compile(r"(?i)\b(?:tel|t[eé]l[eé]fon\w*|t[eé]l[eé]phone|phone|call|dial|fax|sms|mobile?|m[oó]vil|cell|handy|whatsapp|rufnummer)\b[^\w\n]{0,3}(?:\w{1,8}[^\w\n]{1,3}){0,2}$")
 _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)")
 _NAMES = ("token", "secret", "passw", "key", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 _SECRET = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_\- ]?key|access[_\- ]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_\-]{16,})|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,})(?![A-Za-z0-9])")
@@ -120,6 +131,10 @@ class Mapped:
         p, s, e, copied = self._source[bisect_right(self._at, hi - 1) - 1]
         return start, (s + hi - p if copied else e)
 
+    def edited(self, lo: int, hi: int) -> bool:
+        """Whether an edit put signs into [lo, hi) of the current text."""
+        return self._at is not None and any(p < hi and q > lo and not c for p, q, _, _, c in self._pieces())
+
 
 def normalise(text: str) -> Mapped:
     m = Mapped(text)
@@ -132,12 +147,12 @@ def normalise(text: str) -> Mapped:
         if strange:
             m.edit([(x.start(), x.end(), _TWINS[x.group()]) for x in _STRANGE.finditer(m.text)])
     low = m.text.lower()
-    if not _DIGIT.keys().isdisjoint(low.translate(_SPACED).split() if low.isascii() else re.split(r"[\s\-.,]+", low)):
+    if _SEVEN in bytes(map(_DIGIT.__contains__, low.replace("-", " ").replace(".", " ").replace(",", " ").split())):
         m.edit([(x.start(), x.end(), "".join(_DIGIT[d.lower()] for d in _EACH.findall(x.group()))) for x in _SPELLED.finditer(m.text)])
     if "dot" in low or any(x in low for x in _BRACKETED):
         edits = []
         for x in _DISGUISED.finditer(m.text):
-            if re.split(r"[^A-Za-z0-9\-]+", x.group())[-1].lower() in _TLD:
+            if _OPEN.search(x.group()) or re.split(r"[^A-Za-z0-9\-]+", x.group())[-1].lower() in _TLD:
                 edits += [(x.start() + y.start(), x.start() + y.end(), "@" if y.group("at") else ".") for y in _INNER.finditer(x.group())]
         m.edit(edits)
     return m
@@ -156,11 +171,14 @@ def spans(text: str | None) -> list[tuple[str, int, int, str, bool]]:
     t, found = m.text, []
     if "@" in t:
         found += [("email", x.start(), x.end()) for x in _EMAIL.finditer(t)]
-    for x in _NUMBER.finditer(t) if len(t.encode().translate(None, _NOT_DIGITS)) > 3 else ():  # an IPv4 address has four digits at least; the costlier patterns only see the neighbourhood of a number
-        lo, hi = max(0, x.start() - 4), min(len(t), x.end() + 24)
-        for kind, pattern in (("phone", _PHONE), ("card", _CARD), ("ipv4", _IPV4)):
-            for y in pattern.finditer(t, lo, hi):
-                found.append((kind, y.start(), y.end()))
+    for x in _NUMBER.finditer(t):  # a longest stretch of digits and what may part them
+        lo, hi = x.span()
+        if t.count(".", lo, hi) >= 3:
+            found += [("ipv4", *y.span()) for y in _IPV4.finditer(t, lo, hi)]
+        for y in _PHONE.finditer(t, lo, hi):
+            if _BARE.fullmatch(y.group()) is None or _CALL.search(t, max(0, y.start() - 40), y.start()) or m.edited(*y.span()):
+                found.append(("phone", *y.span()))
+        found += [("card", *y.span()) for y in _CARD.finditer(t, lo, hi) if "2" <= t[y.start()] <= "6" and luhn(re.sub(r"\D", "", y.group()))]
     low = t.lower()
     for x in _SECRET.finditer(t) if any(w in low for w in _NAMES) else ():
         k = 1 if x.group(1) else 0
@@ -175,20 +193,23 @@ def spans(text: str | None) -> list[tuple[str, int, int, str, bool]]:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per identifier: ``doc_id, kind, start, end, value`` (normalised), ``disguised, checksum_ok`` (cards only)."""
-    schema = "doc_id long, kind string, start int, end int, value string, disguised boolean, checksum_ok boolean"
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+    """One row per identifier: ``doc_id, kind, start, end, value`` (normalised), ``disguised``."""
+    names = ["kind", "start", "end", "value", "disguised"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
 
     def run(batches):
         for batch in slices(batches):
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind, lo, hi, value, hidden in spans(text):
-                    out.append((doc, kind, lo, hi, value, hidden, luhn(re.sub(r"\D", "", value)) if kind == "card" else None))
+            at, out = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                got = spans(text)
+                at += [i] * len(got)
+                out += got
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in schema.split(", ")])
+                columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, kind string, start int, end int, value string, disguised boolean")
 
 
 def masked(text: str | None) -> str | None:
@@ -203,9 +224,10 @@ def masked(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The same rows with identifiers masked; ``length_col``, where there is one, is the new length of a text that changed."""
+    """The same rows with identifiers masked; ``length_col``, where there is one of whole numbers, is the new length of a text that changed."""
     where, schema = docs.columns.index(text_col), docs.schema
-    length = docs.columns.index(length_col) if length_col in docs.columns else None
+    whole = length_col in docs.columns and isinstance(schema[length_col].dataType, IntegralType)
+    length = docs.columns.index(length_col) if whole else None
 
     def run(batches):
         for batch in slices(batches):

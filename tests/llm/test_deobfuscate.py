@@ -100,3 +100,70 @@ def test_disguises_in_capitals(written):
     assert [(k, v) for k, _, _, v, _ in D.spans(f"mail {written} now")] == [("email", "john@example.com")]
     assert D.masked(f"mail {written} now") == "mail <email> now"
     assert D.spans("Look AT the DOT matrix, [AT] noon (DOT) done") == []
+
+
+@pytest.mark.parametrize("text, want", [
+    ("order 1234567890", []), ("isbn 9781234567897 and 4845168114407328", []), ("tel. 1234567890", [("phone", "1234567890")]), ("call me at 1234567890", [("phone", "1234567890")]),
+    ("(123) 456-7890 or 123-456-7890", [("phone", "(123) 456-7890"), ("phone", "123-456-7890")]),
+    ("cinco cinco cinco uno dos tres cuatro cinco seis siete", [("phone", "5551234567")]), ("null eins fünf, null eins fünf, vier drei zwei eins", [("phone", "0150154321")]),
+    ("john (at) site.photography", [("email", "john@site.photography")]), ("a (at) b.c.d.e.f.g.h.com", [("email", "a@b.c.d.e.f.g.h.com")]), ("we met at noon dot photography", []),
+])
+def test_what_counts(text, want):
+    assert [(k, v) for k, _, _, v, _ in D.spans(text)] == want
+
+
+def brute(text):
+    """Addresses and cards among all stretches, by their definition; the longest at the earliest place first."""
+    found, done = [], 0
+    sign = lambda k: text[k] if 0 <= k < len(text) else " "
+    for lo in range(len(text)):
+        for hi in range(min(len(text), lo + 25), lo, -1):
+            x = text[lo:hi]
+            if lo < done or not (x[0].isdigit() and x[-1].isdigit()) or sign(lo - 1).isdigit() or sign(hi).isdigit():
+                continue
+            parts = x.split(".")
+            if len(parts) == 4 and all(p.isdigit() and int(p) < 256 and (len(p) < 3 or p[0] in "12") for p in parts):
+                if sign(lo - 1) != "." and not (sign(hi) == "." and sign(hi + 1).isdigit()):
+                    found.append(("ipv4", lo, hi))
+                    done = hi
+                    break
+            groups = [len(g) for g in re.split("[ -]", x)]
+            shaped = len(groups) == 1 and 13 <= groups[0] <= 19 or groups in ([4, 6, 5], [4] * 3, [4] * 4) or groups[:-1] in ([4] * 3, [4] * 4) and groups[-1] < 4
+            if shaped and all(c in "0123456789 -" for c in x) and x[0] in "23456":
+                d = [int(c) for c in x if c.isdigit()]
+                if sum(c if (len(d) - k) % 2 else sum(divmod(2 * c, 10)) for k, c in enumerate(d)) % 10 == 0:
+                    found.append(("card", lo, hi))
+                    done = hi
+                    break
+    return found
+
+
+def test_numbers_against_brute_force():
+    r = random.Random(9)
+    some = 0
+    for _ in range(400):
+        words = []
+        for _ in range(r.randint(1, 6)):
+            n = r.choice([1, 2, 3, 4, 4, 13, 16, 19])
+            word = "".join(r.choices("0123456789", k=n))
+            if n >= 13 and r.random() < 0.8:  # made valid
+                word = next(w for w in (head + word[1:-1] + c for head in [r.choice("3456")] for c in "0123456789") if D.luhn(w))
+                word = r.choice([word, " ".join(word[k : k + 4] for k in range(0, n, 4))])
+            elif r.random() < 0.5:
+                word = ".".join(str(r.randint(0, 300)) for _ in range(r.randint(3, 5)))
+            words.append(word)
+        text = r.choice(["", "é "]) + r.choice([" | ", ", x "]).join(words) + r.choice(["", ".", " y"])
+        got = [(k, a, b) for k, a, b, *_ in D.spans(text) if k != "phone"]
+        want = [x for x in brute(text) if not any(k == "phone" and a < x[2] and b > x[1] for k, a, b, *_ in D.spans(text))]
+        assert got == want, text
+        some += len(got)
+    assert some > 200
+
+
+def test_other_columns_and_ids(spark):
+    df = spark.createDataFrame([("u-1", "me@here.org", "many"), (None, "x", None)], "doc_id string, text string, n_chars string")
+    assert [(x.doc_id, x.value) for x in D.find(df).collect()] == [("u-1", "me@here.org")]
+    assert [(x.text, x.n_chars) for x in D.redact(df).collect()] == [("<email>", "many"), ("x", None)]
+    twice = spark.createDataFrame([(1, "a@b.org, c@d.org")] * 2, "doc_id int, text string")
+    got = D.find(twice).collect()
+    assert len(got) == 4 and D.find(twice).schema["doc_id"].dataType.simpleString() == "int"
