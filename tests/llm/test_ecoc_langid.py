@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from arbolita.llm import ecoc_langid as L
@@ -75,3 +76,38 @@ def test_without_labels_texts_with_letters_stay(spark):
     assert all(r.predicted == "und" for r in got)
     assert {r.doc_id for r in got if r.ambiguous is None} == {1, 4, 5, 6, None} and all(r.ambiguous for r in got if r.doc_id in (2, 3, 7, 8))
     assert sorted(r.doc_id or 0 for r in L.keep_identified(df, model).collect()) == [0, 1, 4, 5, 6, 6]
+
+
+def test_sample_is_bounded(spark):
+    """Null ids, one repeated id, equal rows, many labels: at most per_label of each, and every label is there."""
+    rows = [(None, f"text of number {k} here", "en") for k in range(3000)] + [(7, f"zahl {k} da", "de") for k in range(3000)] + [(8, "toujours la même", "fr")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r.y for r in L.sample(df, 50).collect()]
+    assert {y: got.count(y) for y in set(got)} == {"en": 50, "de": 50, "fr": 1}
+    assert L.train(df, 50).labels == ["de", "en", "fr"]
+    many = df.withColumn("lang", F.concat(F.lit("l"), F.monotonically_increasing_id()))
+    with pytest.raises(ValueError):
+        L.sample(many, 50)
+
+
+def test_bit_weights_are_held_out():
+    """A brute-force count of the bits that the fitted classifiers get right on the rows they didn't see."""
+    t = texts(8, 200)
+    model = L.fit([x[1] for x in t], [x[2] for x in t])
+    seen: dict = {}
+    right, n = np.zeros(model.code.shape[1]), 0
+    for _, text, g in t:
+        seen[g] = seen.get(g, 0) + 1
+        if seen[g] % 5 == 0:
+            score = L.features(L.letters(text)) @ model.weight + model.bias
+            right += score * model.code[model.labels.index(g)] > 0
+            n += 1
+    assert np.allclose(model.bit_weight, np.maximum(2 * right / n - 1, 0.05), atol=1e-6)
+
+
+def test_ids_of_any_type_and_ties(spark):
+    df = spark.createDataFrame([("u-1", "der und die das", "de"), ("u-2", "the of and", "en"), (None, "the of and", "en")], "doc_id string, text string, lang string")
+    got = L.identify(df, L.train(df)).collect()
+    assert {r.doc_id: r.predicted for r in got} == {"u-1": "de", "u-2": "en", None: "en"}
+    flat = L.Model(["a", "b"], L.codewords(2), np.zeros((L.BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
+    assert [x[:3] for x in L._decoded(["no sign of either"], flat, None)] == [("a", np.float32(np.log(2)), 0.0)]
