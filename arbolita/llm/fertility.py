@@ -4,14 +4,16 @@ Public vocabularies are run over the whole text and measure, per document and vo
 of byte-fallback tokens (tokens that are not whole characters; line ends and tabs don't count) and the entropy of the
 document's token distribution over its greatest possible value. Each language (each script, where no language is given) has a
 rejection band for every measure: from ``spread`` interquartile ranges below the lower quartile to as many above the
-upper one, never narrower than ``SLACK`` on either side, and wider by the share ``least_tokens`` / tokens for a short text. The quartiles are taken over all documents of the group with at
-least ``least_tokens`` tokens; a shorter document, or one of a group with fewer than ``least_group`` such documents, is
-measured but not rejected.
+upper one, never narrower than ``SLACK`` on either side, and wider by the share ``least_tokens`` / tokens: a short text's
+measures vary more. The quartiles are taken over all documents of the group with at least ``least_tokens`` tokens of that
+vocabulary; a group with fewer than ``least_group`` such documents has no band (those of other languages would not suit it), and
+its documents are kept.
 
-Tokens are found per distinct word: both kinds of vocabulary cut before a blank, so a worker tokenises a word once.
+Tokens are found per distinct word: both kinds of vocabulary cut before a blank, so a worker tokenises a word once. A text
+with richer white space is cut at the vocabulary's own boundaries, which no token crosses.
 
 Defined results: a null or empty text has 0 tokens, null measures and is kept; equal texts get equal measures; ties don't
-matter; an empty table gives no rows; only the three named columns are read.
+matter; an empty table gives no rows; only the three named columns are read; ids keep their type.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbolita.llm.batches import slices
+from arbolita.llm.batches import id_type, slices
 from arbolita.llm.words import Lexicon, literal, plain_units
 from arbolita.session import cut
 
@@ -46,6 +49,7 @@ class Vocabulary:
             self._run = lambda words: sp.encode(words, num_threads=1)
             self._cut = re.compile(r" *\n| *[^ \n]+| +").findall
             self._words = self._pieces
+            self._first_apart = False
         elif path.endswith(".tiktoken"):
             import tiktoken
 
@@ -60,7 +64,8 @@ class Vocabulary:
                 except UnicodeDecodeError:
                     self.fallback[k] = True
             self._words = lambda words: [encoding.encode_ordinary(literal(w)) for w in words]
-            self._cut = None
+            self._cut = regex.compile(PATTERN).findall
+            self._first_apart = True
         else:
             raise ValueError(f"{path}: neither .model nor .tiktoken")
         self.lexicon = Lexicon(self._words)
@@ -78,12 +83,10 @@ class Vocabulary:
     def units(self, text: str) -> list[str]:
         words = plain_units(text)
         if words is not None:
-            if self._cut is None:  # the first word of a text has no blank before it
+            if self._first_apart:  # the first word of a text has no blank before it
                 words[0] = "\0" + words[0]
             return words
-        if self._cut is None:
-            return ["\0" + text]
-        return ["\0" + u for u in self._cut(" " + text)]
+        return ["\0" + u for u in self._cut(text if self._first_apart else " " + text)]
 
 
 _OPEN: dict[str, Vocabulary] = {}
@@ -144,27 +147,31 @@ def measure(docs: DataFrame, vocabularies: dict[str, str], id_col: str = "doc_id
                 columns += [pa.array(n)] + [pa.array(x, mask=n == 0) for x in (chars / some, f / some, h / top)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", *fields])
 
-    schema = "doc_id long, band string, " + ", ".join(f"{x} {'long' if x.endswith('_tokens') else 'double'}" for x in fields)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    schema = f"doc_id {id_type(docs, id_col)}, band string, " + ", ".join(f"{x} {'long' if x.endswith('_tokens') else 'double'}" for x in fields)
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     return narrow.mapInArrow(run, schema)
 
 
 SLACK = {"chars_per_token": 0.25, "fallback_share": 0.02, "entropy": 0.05}
 
 
+#: Bands up to so many (some 200 bytes each) are broadcast; a column with more distinct languages is joined by shuffle.
+BROADCAST_BANDS = 100_000
+
+
 def bands(measures: DataFrame, vocabularies: dict[str, str], spread: float = 4.0, least_tokens: int = 100, least_group: int = 20) -> DataFrame:
-    """One row per language or script: its documents of enough tokens, and for every measure the ends of its band."""
-    first = next(iter(vocabularies))
-    long = F.col(f"{first}_tokens") >= least_tokens
-    names = [(v, m) for v in vocabularies for m in MEASURES]
-    quart = [F.percentile_approx(F.when(F.col(f"{v}_tokens") >= least_tokens, F.col(f"{v}_{m}")), [0.25, 0.75], F.lit(10_000)).alias(f"q_{v}_{m}") for v, m in names]
-    grouped = measures.groupBy("band").agg(F.count_if(long).alias("n_band"), *quart)
-    ends = []
-    for v, m in names:
-        q = F.col(f"q_{v}_{m}")
-        wide = F.greatest(spread * (q[1] - q[0]), F.lit(SLACK[m]))
-        ends += [(q[0] - wide).alias(f"lo_{v}_{m}"), (q[1] + wide).alias(f"hi_{v}_{m}")]
-    return grouped.where(F.col("n_band") >= least_group).select("band", *ends)
+    """For every language or script the ends of its bands; null under a vocabulary in which it has too few documents."""
+    aggregates, ends = [], []
+    for v in vocabularies:
+        long = F.col(f"{v}_tokens") >= least_tokens
+        aggregates.append(F.count_if(long).alias(f"n_{v}"))
+        for m in MEASURES:
+            aggregates.append(F.percentile_approx(F.when(long, F.col(f"{v}_{m}")), [0.25, 0.75], F.lit(10_000)).alias(f"q_{v}_{m}"))
+            q = F.col(f"q_{v}_{m}")
+            wide = F.greatest(spread * (q[1] - q[0]), F.lit(SLACK[m]))
+            enough = F.col(f"n_{v}") >= least_group
+            ends += [F.when(enough, q[0] - wide).alias(f"lo_{v}_{m}"), F.when(enough, q[1] + wide).alias(f"hi_{v}_{m}")]
+    return measures.groupBy("band").agg(*aggregates).select("band", *ends)
 
 
 def judge(
@@ -176,15 +183,15 @@ def judge(
     The measures, a few numbers a document, are written once and read twice: for the bands and for the verdicts.
     """
     m = cut(measure(docs, vocabularies, id_col, text_col, lang_col), "fertility")
-    b = bands(m, vocabularies, spread, least_tokens, least_group)
-
+    b = cut(bands(m, vocabularies, spread, least_tokens, least_group), "bands")
+    if b.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
+        b = F.broadcast(b)
 
     def reason(v: str, x: str):
         n, value, lo, hi = (F.col(f"{v}_tokens"), F.col(f"{v}_{x}"), F.col(f"lo_{v}_{x}"), F.col(f"hi_{v}_{x}"))
-        more = (hi - lo) / 2 * least_tokens / n  # a short document's measures vary more
-        return F.when((n >= least_tokens) & ~value.between(lo - more, hi + more), F.lit(f"{v}_{x}"))
+        more = (hi - lo) / 2 * least_tokens / F.greatest(n, F.lit(1))
+        return F.when(~value.between(lo - more, hi + more), F.lit(f"{v}_{x}"))
 
     reasons = [reason(v, x) for v in vocabularies for x in MEASURES]
-    # a row per language or script: as many as there are such codes, however large the corpus
-    joined = m.join(F.broadcast(b), "band", "left").select(*m.columns, F.array_compact(F.array(*reasons)).alias("reasons"))
+    joined = m.join(b, "band", "left").select(*m.columns, F.array_compact(F.array(*reasons)).alias("reasons"))
     return joined.withColumn("keep", F.size("reasons") == 0)

@@ -54,8 +54,8 @@ def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """The token ids of every document, and whether decoding them gives the document again."""
-    return spm_trie.encode(table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+    """The best segmentation (Viterbi) of every document under the model's pieces and scores, and whether decoding it gives the document again."""
+    return spm_trie.encode(table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model", search="viterbi")
 
 
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 ``Lexicon`` numbers the distinct words that a worker meets and keeps the token ids of each in one flat array; a document is
 then an array of word numbers, and its ids are gathered by indexing. Words are cut where no token can cross: before a
-single blank and before a line end. A worker forgets its lexicon when it holds ``MOST_WORDS`` words; words met again are
-encoded again, so nothing is lost.
+single blank and before a line end. A worker forgets its lexicon when it holds ``MOST_WORDS`` words or ``MOST_CHARS``
+characters; words met again are encoded again, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 MOST_WORDS = 300_000
+MOST_CHARS = 16_000_000
 _PART = 120_000
+_PART_CHARS = 4_000_000
 
 
 class Lexicon(dict):
@@ -28,11 +30,13 @@ class Lexicon(dict):
     def _reset(self) -> None:
         self.clear()
         self._new: list[str] = []
+        self._chars = 0
         self._ids, self._start, self._length = array("i"), array("q"), array("i")
 
     def __missing__(self, word: str) -> int:
         k = self[word] = len(self)
         self._new.append(word)
+        self._chars += len(word)
         return k
 
     def _learn(self) -> None:
@@ -44,17 +48,18 @@ class Lexicon(dict):
 
     def documents(self, texts: list[str | None], units: Callable[[str], list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first, ids, ends): the ids of texts[first : first + len(ends)] in a row, and where each text's end. Null: none."""
-        first, numbers, counts, size = 0, [], [], 0
+        first, numbers, counts, size, chars = 0, [], [], 0, 0
         look = self.__getitem__
         for i, text in enumerate(texts):
             words = units(text) if text else []
             numbers.append(np.fromiter(map(look, words), np.int32, len(words)))
             counts.append(len(words))
             size += len(words)
-            if size > _PART or i == len(texts) - 1:
+            chars += len(text or "")
+            if size > _PART or chars > _PART_CHARS or i == len(texts) - 1:
                 yield first, *self._gather(np.concatenate(numbers), np.array(counts))
-                first, numbers, counts, size = i + 1, [], [], 0
-                if len(self) > MOST_WORDS:
+                first, numbers, counts, size, chars = i + 1, [], [], 0, 0
+                if len(self) > MOST_WORDS or self._chars > MOST_CHARS:
                     self._reset()
 
     def _gather(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

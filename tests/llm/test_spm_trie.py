@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -47,9 +48,80 @@ def test_unigram_ids_are_the_librarys(tmp_path):
     model = S.Model(str(model_as))
     assert not model.bpe
     got, want = ids(model, texts()), sp.encode(texts())
-    score = lambda x: sum(model.score[k] for k in x)
-    assert [score(x) for x in got] == [score(x) for x in want]
-    assert sum(a == b for a, b in zip(got, want)) > 0.99 * len(want)
+    assert got == want
+    assert ids(S.Model(MODEL, "viterbi"), texts()) == want
+
+
+def test_viterbi_against_brute_force():
+    """The best sum over all segmentations of short words."""
+    model = S.Model(MODEL, "viterbi")
+
+    def best(word):
+        if not word:
+            return 0.0
+        found = [model.score[model.ids[word[:k]]] + best(word[k:]) for k in range(1, len(word) + 1) if word[:k] in model.ids]
+        if word[0] not in model.ids:
+            found.append(model.unknown + best(word[1:]))
+        return max(found)
+
+    r = random.Random(5)
+    words = ["".join(r.choices("theron ", k=r.randint(1, 9))).strip() or "x" for _ in range(200)]
+    for word, got in zip(words, model.encode_words(words)):
+        assert sum(model.score[k] for k in got) == best(S.MARK + word.replace(" ", S.MARK))
+
+
+@pytest.mark.parametrize("search", ["viterbi", "merges"])
+def test_long_runs_take_linear_time(search):
+    model = S.Model(MODEL, search)
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    began = time.time()
+    for text in ("a" + " " * 100_000 + "b", "x" * 100_000, "\n" * 100_000, "漢" * 100_000):
+        got = ids(model, [text])[0]
+        assert model.decode(got) == text
+        if search == "merges":
+            assert got == sp.encode(text)
+    assert time.time() - began < 60
+
+
+def test_irregular_texts_keep_the_lexicon_small(monkeypatch):
+    from arbolita.llm import words
+
+    monkeypatch.setattr(words, "MOST_CHARS", 100_000)
+    model = S.Model(MODEL)
+    lexicon = Lexicon(model.encode_words)
+    most = 0
+    r = random.Random(6)
+    for _ in range(100):
+        part = ["".join(r.choices("abc d\t", k=300)) for _ in range(500)]
+        for _ in lexicon.documents(part, S.units):
+            pass
+        most = max(most, lexicon._chars)
+    assert most < 300_000
+
+
+def test_other_models_are_refused(tmp_path):
+    raw = open(MODEL, "rb").read()
+    at = tmp_path / "m.model"
+    for more in (b"\x1a\x02\x20\x01", b"\x1a\x02\x18\x00", b"\x1a\x03\x12\x01x", b"\x0a\x06\x0a\x02zz\x18\x04"):  # white space removed, no prefix, a map, a user's piece
+        at.write_bytes(raw + more)
+        with pytest.raises(ValueError):
+            S.Model(str(at))
+    with pytest.raises(ValueError):
+        S.Model(MODEL, "other")
+
+
+def test_unknown_pieces_where_there_are_no_bytes():
+    model = S.Model(MODEL)
+    model.byte = {}
+    got = model.encode_words(["a₿₿b"])[0]
+    assert got.count(model.unknown_id) == 1
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("u-1", "a  b"), (None, None)], "doc_id string, text string")
+    got = S.encode(df, MODEL)
+    assert {r.doc_id: r.round_trip for r in got.collect()} == {"u-1": True, None: None}
+    assert {r.doc_id: r.text for r in S.decode(got, MODEL).collect()} == {"u-1": "a  b", None: None}
 
 
 def _with_type(raw: bytes, kind: int) -> bytes:
