@@ -1,17 +1,19 @@
 """URL filters: host-suffix and path-prefix expressions, hash-prefix join, full digests, rule precedence.
 
-A URL becomes all expressions "suffix of the host" + "prefix of the path": host suffixes of two labels or more (the whole host
+A URL becomes expressions "suffix of the host" + "prefix of the path": host suffixes of two labels or more (the whole host
 where it has one label or is an IPv4 address); the path with its query, the path, and every directory prefix from "/" on.
-Rules are such expressions with an action. Both sides carry the first four bytes of the SHA-256 of their expression, the
-join is on those, and the full digests of the survivors are compared. Of a URL's rules that with the highest priority
-decides, then the longer host, the longer path, ``allow`` before ``block``, the smaller rule id.
+Suffixes of as many labels as no rule's host has, and prefixes of a depth that no rule has, could meet no rule and are not
+written out, so a URL of thousands of steps costs what the rules' depths cost. Rules are such expressions with an action. Both
+sides carry the first four bytes of the SHA-256 of their expression; the join is on those alone, and after it the full digests
+are compared. Of a URL's rules that with the highest priority decides, then the longer host, the longer path, ``allow``
+before ``block``, the smaller rule id.
 
-URLs are brought to one form first: scheme, user, port, fragment and dots around the host go, the host is lower case, runs
-of slashes become one.
+URLs and the rules' expressions are brought to one form first: scheme, user, port, fragment and dots around the host go, the
+host is lower case, runs of slashes become one, a missing path is "/".
 
 Defined results: a null or blank URL has no expressions and passes; a URL that no rule matches passes with null rule; rules
-with a null expression or action are ignored; repeated rules change nothing; a row that repeats (id and URL) is one
-result; empty tables give no rows, an empty rule table lets all pass; only the named columns are read.
+with a null or blank expression or a null action are ignored; repeated rules change nothing; a row that repeats (id and URL) is one
+result; empty tables give no rows, an empty rule table lets all pass; only the named columns are read; ids of pages keep their type.
 """
 
 from __future__ import annotations
@@ -49,37 +51,46 @@ def parts(url: Column) -> tuple[Column, Column, Column]:
     return host, path, query
 
 
-def expressions(host: Column, path: Column, query: Column) -> Column:
-    """All expressions, as an array without repeats."""
-    labels = F.split(host, "[.]")
+def expressions(host: Column, path: Column, query: Column, labels_of: list[int], depths: list[int]) -> Column:
+    """The expressions with a host of ``labels_of`` labels and, for directories, of ``depths``; an array without repeats."""
+    labels, steps = F.split(host, "[.]"), F.split(path, "/")  # "/a/b" has steps "", "a", "b": the prefixes of 1 .. 2 steps end in "/"
     n = F.size(labels)
     whole = (n < 2) | host.rlike("^[0-9]{1,3}([.][0-9]{1,3}){3}$")
-    hosts = F.when(whole, F.array(host)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.greatest(n - i + 1, F.lit(0))), "."))
-    )
-    steps = F.split(path, "/")  # "/a/b" has steps "", "a", "b": the prefixes of 1 .. 2 steps end in "/"
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/")))
+    some = lambda numbers: F.array(*map(F.lit, numbers)).cast("array<int>")
+    suffixes = F.transform(F.filter(some([k for k in labels_of if k > 1]), lambda k: k <= n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    hosts = F.when(whole, F.array(host)).otherwise(suffixes)
+    prefixes = F.transform(F.filter(some(depths), lambda k: k < F.size(steps)), lambda k: F.concat(F.array_join(F.slice(steps, F.lit(1), k), "/"), F.lit("/")))
     paths = F.concat(prefixes, F.array(path), F.when(query.isNotNull(), F.array(F.concat(path, F.lit("?"), query))).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
 
 
+def normal_rules(rules: DataFrame) -> DataFrame:
+    """``rule_id, rule, rule_action, priority`` with the expressions in the form of URLs, their labels and (for directories) depth."""
+    host, path, query = parts(F.col("expression"))
+    r = rules.where("expression is not null and action is not null").select(
+        F.col("rule_id").cast("long").alias("rule_id"), F.col("action").alias("rule_action"), F.coalesce(F.col("priority").cast("int"), F.lit(0)).alias("priority"),
+        host.alias("host"), path.alias("path"), query.alias("query"),
+    ).where("host <> ''")
+    depth = F.when(F.col("query").isNull() & F.col("path").endswith("/"), F.size(F.split("path", "/")) - 1)
+    rule = F.concat("host", "path", F.coalesce(F.concat(F.lit("?"), "query"), F.lit("")))
+    return r.select("rule_id", rule.alias("rule"), "rule_action", "priority", F.size(F.split("host", "[.]")).alias("labels"), depth.alias("depth"))
+
+
 def verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``page_id, url, rule_id, action, expression`` of each page: the deciding rule, or ``pass``."""
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
+    """``page_id, url, rule_id, action, expression`` of each page: the deciding rule (its expression in the form of URLs), or ``pass``."""
+    r = normal_rules(rules)
+    shapes = r.agg(F.collect_set("labels").alias("labels"), F.collect_set("depth").alias("depths"), F.count("*").alias("n")).first()
+    p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path, query = parts(F.col("url"))
     p = p.withColumns({"host": host, "path": path, "query": query})
-    found = F.when(F.col("host") != "", expressions(F.col("host"), F.col("path"), F.col("query")))
-    e = p.select("page_id", "url", F.explode_outer(found).alias("e")).withColumn("digest", F.sha2("e", 256))
-    r = rules.select(
-        F.col("rule_id").cast("long").alias("rule_id"), F.col("expression").alias("rule"), F.col("action").alias("rule_action"),
-        F.coalesce(F.col("priority").cast("int"), F.lit(0)).alias("priority"), F.sha2("expression", 256).alias("rule_digest"),
-    ).where("rule is not null and rule_action is not null")
+    found = F.when(F.col("host") != "", expressions(F.col("host"), F.col("path"), F.col("query"), sorted(shapes.labels), sorted(shapes.depths)))
     short = lambda c: F.substring(c, 1, 8)  # noqa: E731  four bytes in hex
-    r = r.withColumn("short", short("rule_digest"))
-    if r.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+    e = p.select("page_id", "url", F.explode_outer(found).alias("e")).withColumn("digest", F.sha2("e", 256)).withColumn("e_short", short("digest"))
+    r = r.select("rule_id", "rule", "rule_action", "priority", F.sha2("rule", 256).alias("rule_digest")).withColumn("short", short("rule_digest"))
+    if shapes.n <= BROADCAST_RULES:
         r = F.broadcast(r)
-    met = e.join(r, (short("digest") == F.col("short")) & (F.col("digest") == F.col("rule_digest")), "left")
-    rank = F.when(F.col("rule").isNotNull(), F.struct(
+    met = e.join(r, F.col("e_short") == F.col("short"), "left")
+    rank = F.when(F.col("digest") == F.col("rule_digest"), F.struct(
         F.col("priority"), F.length(F.substring_index("rule", "/", 1)).alias("h"), F.length("rule").alias("l"), (F.col("rule_action") == "allow").alias("allow"),
         (-F.col("rule_id")).alias("id"), F.col("rule_action").alias("action"), F.col("rule").alias("expression"),
     ))
