@@ -38,8 +38,8 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose sets of three-word runs have a Jaccard similarity of 0.65 or more."""
-    return ngram_join.all_pairs(table(spark, sf_dir, "documents"))
+    """Every document with its class of connected texts and its numbers of copies and of similar texts (three-word runs, Jaccard 0.65 or more)."""
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,27 @@ OP3_SQL = """
     SELECT d.doc_id, shard::INT AS shard, capacity FROM documents d
     JOIN n ON n.h = md5(coalesce(d.text, '')) AND n.none = (d.text IS NULL) JOIN fill ON fill.k = n.k, c
 """
+OP5_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, string_split({_NORMAL}, ' ') AS words FROM documents WHERE {_NORMAL} <> '' AND doc_id IS NOT NULL),
+    g AS (
+        SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, greatest(len(words) - 2, 1)),
+               lambda i: array_to_string(list_slice(words, i, i + least(3, len(words)) - 1), ' ')))) AS grams FROM w),
+    m AS (SELECT DISTINCT doc_id, md5(array_to_string(grams, '|')) AS sid FROM g),
+    s AS (SELECT DISTINCT md5(array_to_string(grams, '|')) AS sid, len(grams) AS n, grams FROM g),
+    r AS (SELECT sid, n, unnest(grams) AS gram FROM s),
+    links AS (
+        SELECT a.sid AS a, b.sid AS b FROM r a JOIN r b ON a.gram = b.gram AND a.sid <> b.sid
+        GROUP BY a.sid, b.sid, a.n, b.n HAVING 20 * count(*) >= 13 * (a.n + b.n - count(*))),
+    edges AS (SELECT a, b FROM links UNION SELECT x.sid, y.sid FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.sid <> y.sid),
+    reach(a, b) AS (SELECT sid, sid FROM s UNION SELECT reach.a, e.b FROM reach JOIN edges e ON e.a = reach.b),
+    class AS (SELECT reach.a AS sid, min(m.doc_id) AS class_id FROM reach JOIN m ON m.sid = reach.b GROUP BY reach.a),
+    size AS (SELECT sid, count(*) AS docs FROM m GROUP BY sid),
+    n AS (SELECT a AS sid, count(*) AS n_links FROM links GROUP BY a)
+    SELECT m.doc_id, class_id, docs - 1 AS n_copies, coalesce(n_links, 0) AS n_links
+    FROM m JOIN class USING (sid) JOIN size USING (sid) LEFT JOIN n USING (sid)
+    UNION ALL
+    SELECT DISTINCT doc_id, doc_id, 0, 0 FROM documents WHERE doc_id IS NOT NULL AND NOT coalesce({_NORMAL} <> '', false)
+"""
 OP9_SQL = f"""
     WITH d AS ({_GRAMS.format(key="doc_id", normal=_NORMAL, table="documents")}),
          b AS ({_GRAMS.format(key="item_id", normal=_NORMAL, table="benchmark")}),
@@ -147,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minimax_shards": OP3_SQL, "op6_url_rules": OP6_SQL, "op9_wu_manber": OP9_SQL}
+    return {"op3_minimax_shards": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_url_rules": OP6_SQL, "op9_wu_manber": OP9_SQL}

@@ -1,7 +1,9 @@
+import math
 import random
 from collections import defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from arbolita.llm import ngram_join as J
@@ -46,81 +48,114 @@ def corpus(seed, size, length, words=40):
     return rows
 
 
-@pytest.mark.parametrize("seed, length, t", [(1, 12, Fraction(13, 20)), (2, 90, Fraction(13, 20)), (3, 30, Fraction(1, 2)), (4, 40, Fraction(9, 10))])
+def expected(rows, n, t):
+    """(id, class, copies, links) of every id and distinct text, from all pairs of texts."""
+    sets = {}
+    for i, text in rows:
+        if i is not None:
+            w = normal(text).split() if text else []
+            k = min(n, len(w))
+            key = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else i
+            sets.setdefault(key, set()).add(i)
+    some = [k for k in sets if isinstance(k, frozenset)]
+    links = {k: [o for o in some if o != k and Fraction(len(k & o), len(k | o)) >= t] for k in some}
+    least = {i: i for v in sets.values() for i in v}
+    changed = True
+    while changed:
+        changed = False
+        for k, v in sets.items():
+            ids = v.union(*(sets[o] for o in links.get(k, ())))
+            low = min(least[i] for i in ids)
+            for i in ids:
+                changed |= least[i] != low
+                least[i] = low
+    return sorted((i, least[i], len(v) - 1, len(links.get(k, ()))) for k, v in sets.items() for i in v)
+
+
+def found(df, *args):
+    return sorted((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in J.classes(df, *args).collect())
+
+
+@pytest.mark.parametrize("seed, length, t", [(1, 12, Fraction(13, 20)), (2, 90, Fraction(13, 20)), (3, 30, Fraction(1, 2)), (4, 40, Fraction(9, 10)), (5, 4, Fraction(1, 2)), (6, 60, Fraction(3, 10))])
 def test_against_brute_force(spark, seed, length, t):
     rows = corpus(seed, 150, length)
-    got = J.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 3, t).collect()
-    assert len(got) == len({(r.doc_id_a, r.doc_id_b) for r in got})
-    assert {(r.doc_id_a, r.doc_id_b) for r in got} == brute(rows, 3, t)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), 3, t) == expected(rows, 3, t)
 
 
-def test_edges(spark):
-    got = J.similar_pairs(edge(spark)).collect()
-    assert [(r.doc_id_a, r.doc_id_b, r.jaccard) for r in got] == [(1, 6, 1.0)]
-    kept = J.keep_one_of_each(edge(spark))
-    assert kept.columns == edge(spark).columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_and_repeats(spark, monkeypatch, small):
+    """A thousand near copies, copies, ids with several texts and equal rows; with blocks, buckets and rounds in use too."""
+    if small:
+        for name, value in (("BLOCK_SETS", 150), ("TASK_PAIRS", 100), ("BLOCK_PAIRS", 200), ("BUCKET_BYTES", 20_000), ("LOCAL_EDGES", 3), ("BROADCAST_IDS", 3), ("_FLUSH", 500)):
+            monkeypatch.setattr(J, name, value)
+    r = random.Random(11)
+    rows = corpus(7, 120, 30)
+    text = [f"g{k}" for k in range(60)]
+    near = 1000 if not small else 400
+    for k in range(near):
+        w = list(text)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(60)] = f"h{r.randrange(50)}"
+        rows.append((10_000 - k, " ".join(w)))
+    rows += [(20_000 + k, " ".join(text)) for k in range(15)] + [(5, " ".join(text)), (3, "one text"), (3, "quite another text, of that id"), rows[40], rows[40]]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows, 3, J.THRESHOLD)
 
 
-def test_empty(spark):
-    assert J.similar_pairs(empty(spark)).count() == 0
-    assert J.keep_one_of_each(empty(spark)).count() == 0
+def test_shared_passage(spark):
+    """Many texts that share a passage and are not similar: lists of several groups."""
+    r = random.Random(13)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(i, passage + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.randint(0, 40)))) for i in range(200)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows, 3, J.THRESHOLD)
 
 
-def test_boundary_follows_cost():
-    assert J.boundary({10: 1000}, 1.0) <= J.boundary({10: 1000}, 500.0)
+def test_overlaps_against_sets():
+    r = random.Random(14)
+    for m in (2, 3, 60, 130):
+        sets = [sorted(r.sample(range(300), r.randint(0, 80))) for _ in range(m)]
+        got = J._overlaps([np.array(x, np.int64) for x in sets])
+        assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(m) for j in range(m) if i != j)
 
 
-def test_components(spark):
-    pairs = [(1, 2), (2, 3), (10, 11), (12, 11), (5, 4), (20, 3), *((100 + k, 101 + k) for k in range(40))]
-    got = {r.doc_id: r.group_id for r in J.components(spark.createDataFrame(pairs, "doc_id_a long, doc_id_b long")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 20: 1, 10: 10, 11: 10, 12: 10, 4: 4, 5: 4, **{k: 100 for k in range(100, 141)}}
+def test_edges(spark):
+    df = edge(spark)
+    assert found(df) == expected([(r.doc_id, r.text) for r in df.collect()], 3, J.THRESHOLD)
+    kept = J.keep_one_of_each(df)
+    assert kept.schema == df.schema
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
-def every_pair(rows, n, t):
-    """All pairs of ids with their greatest Jaccard, without collapsing anything."""
-    sets = []
-    for i, text in rows:
-        w = normal(text).split() if text and i is not None else []
-        if w:
-            k = min(n, len(w))
-            sets.append((i, frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1))))
-    want = {}
-    for a, (i, x) in enumerate(sets):
-        for j, y in sets[:a]:
-            s = Fraction(len(x & y), len(x | y))
-            if s >= t and i != j:
-                p = min(i, j), max(i, j)
-                want[p] = max(want.get(p, 0), float(s))
-    return want
+def test_ids_of_any_type(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([("a", text), ("b", text), ("c", text + " eleven"), ("d", "alone"), (None, text)], "doc_id string, text string")
+    got = {r.doc_id: r for r in J.classes(df).collect()}
+    assert {i: (x.n_copies, x.n_links) for i, x in got.items()} == {"a": (1, 1), "b": (1, 1), "c": (0, 1), "d": (0, 0)}
+    assert len({got[i].class_id for i in "abc"}) == 1 and got["a"].class_id in "abc" and got["d"].class_id == "d"
+    kept = [r.doc_id for r in J.keep_one_of_each(df).collect()]
+    assert sorted(map(str, kept)) == sorted(["None", "d", got["a"].class_id])
 
 
-@pytest.mark.parametrize("repeated", [False, True])
-def test_all_pairs_of_documents(spark, monkeypatch, repeated):
-    """Copies pair with copies and with near copies, also where the members of a set take several rows."""
-    monkeypatch.setattr(J, "MEMBERS", 4)
-    rows = corpus(7, 120, 30)
-    text = " ".join(f"g{k}" for k in range(40))
-    rows += [(1000 - k, text) for k in range(15)] + [(2000 + k, text.replace("g39", "h")) for k in range(3)] + [(3000, text.replace("g0 ", "z "))]
-    if repeated:  # ids with several texts, and an equal row
-        rows += [(5, text), (1000, text), (1000, text.replace("g39", "h"))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = J.all_pairs(df).collect()
-    want = every_pair(rows, 3, J.THRESHOLD)
-    assert len(got) == len(want)
-    assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in got} == want
-    assert len(want) > len(brute(rows, 3, J.THRESHOLD)) + 100
+def test_empty(spark):
+    assert J.classes(empty(spark)).count() == 0
+    assert J.keep_one_of_each(empty(spark)).count() == 0
+
 
+def test_boundary_follows_cost():
+    assert J.boundary({10: 1000}, 1.0) <= J.boundary({10: 1000}, 500.0)
+    sizes = {s: 1000 // s for s in range(1, 400)}
 
-def test_all_pairs_edges(spark):
-    assert [(r.doc_id_a, r.doc_id_b, r.jaccard) for r in J.all_pairs(edge(spark)).collect()] == [(1, 6, 1.0)]
-    assert J.all_pairs(empty(spark)).count() == 0
+    def cost(x, length):
+        least = lambda s: -(-13 * s // 20)
+        return sum(m * math.comb(s - least(s) + 2, 2) for s, m in sizes.items() if s <= x) + sum(m * (s - least(s) + 4) * (1 + length / 2) for s, m in sizes.items() if s >= least(x + 1))
 
+    for length in (0.0, 3.0, 40.0, 1e4):
+        assert cost(J.boundary(sizes, length), length) == pytest.approx(min(cost(x, length) for x in range(4, 400)))
 
-def test_query_gives_all_pairs(spark, tmp_path):
-    from arbolita.llm.queries import op5_ngram_jaccard
 
-    text = "one two three four five six seven eight nine ten"
-    rows = [(i, text) for i in range(4)] + [(9, text + " eleven")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {(r.doc_id_a, r.doc_id_b) for r in op5_ngram_jaccard(spark, str(tmp_path)).collect()} == every_pair(rows, 3, J.THRESHOLD).keys()
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(J, "LOCAL_EDGES", local)
+    pairs = [(1, 2), (2, 3), (10, 11), (12, 11), (5, 4), (20, 3), *((100 + k, 101 + k) for k in range(40)), *((500, 600 + k) for k in range(30)), (7, 7)]
+    got = {r.id: r.group for r in J.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 20: 1, 10: 10, 11: 10, 12: 10, 4: 4, 5: 4, **{k: 100 for k in range(100, 141)}, **{k: 500 for k in (500, *range(600, 630))}}
+    assert J.components(spark.createDataFrame([], "u long, v long")).count() == 0
