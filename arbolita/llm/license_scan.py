@@ -15,7 +15,8 @@ licence files in one directory the best cosine counts.
 
 Defined results: cosines are rounded to nine places; a null or empty text has no licence of its own; a null path has directory null and inherits nothing; ties of
 the cosine go to the licence id first in order, then the block that begins first; repeated rows are judged alike; an empty
-table gives no rows; only the named columns are read.
+table gives no rows; only the named columns are read; ids keep their type. Templates are a list or a table (licence, text) of at
+most ``MOST_TEMPLATES`` rows, more are an error; rows of it with a null are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbolita.llm.batches import slices
+from arbolita.llm.batches import id_type, slices
 from arbolita.llm.wu_manber import normal
 from arbolita.session import cut
 
@@ -55,6 +56,21 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal"),
     ("proprietary", "All rights reserved"),
     ("proprietary", "Copyright All rights reserved. Confidential and proprietary"),
@@ -64,6 +80,7 @@ LEAST_COSINE = 0.7
 #: So many words of candidate blocks go to every task that counts; beyond it all words are counted and shuffled.
 KNOWN_WORDS = 200_000
 _FLUSH = 200_000
+MOST_TEMPLATES = 10_000
 
 
 class Templates:
@@ -132,6 +149,16 @@ class Templates:
         return found
 
 
+def listed(templates: list[tuple[str, str]] | DataFrame) -> list[tuple[str, str]]:
+    """The templates of a table, whose first two columns are the licence and the text."""
+    if isinstance(templates, DataFrame):
+        rows = templates.select(*templates.columns[:2]).limit(MOST_TEMPLATES + 1).collect()
+        if len(rows) > MOST_TEMPLATES:
+            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+        templates = [(r[0], r[1]) for r in rows]
+    return [(name, text) for name, text in templates if name is not None and text]
+
+
 def _frequencies(files: DataFrame, terms: set[bytes]) -> tuple[dict[bytes, int], int]:
     """In how many files each term occurs, and how many files there are."""
     names = sorted(terms)
@@ -177,11 +204,13 @@ def _counted(files: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def scan(
-    files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least_cosine: float = LEAST_COSINE,
+    files: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, least_cosine: float = LEAST_COSINE,
     id_col: str = "doc_id", path_col: str = "path", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, path, licence, how (own, inherited, none), cosine, from_dir`` of every file."""
-    f = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    kind = id_type(files, id_col)
+    templates = listed(templates)
+    f = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     df, n = _frequencies(f, {w for _, t in templates for w in normal(t).split()})
 
     def look(batches):
@@ -217,13 +246,13 @@ def scan(
                 names=["doc_id", "path", "own", "own_cosine", "speaks"],
             )
 
-    looked = cut(f.mapInArrow(look, "doc_id long, path string, key string, total long, blocks array<binary>, words array<binary>"), "blocks")
+    looked = cut(f.mapInArrow(look, f"doc_id {kind}, path string, key string, total long, blocks array<binary>, words array<binary>"), "blocks")
     each = looked.where("key is not null").select("key", F.explode("words").alias("word"))
     counts = _counted(f, each.select("word").distinct())
     others = each.join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("others"))
     some = looked.where("key is not null").join(others, "key", "left").select("doc_id", "path", "total", "blocks", "others")
     rest = looked.where("key is null").select("doc_id", "path", "total", "blocks", F.lit(None).cast("array<struct<word: binary, n: bigint>>").alias("others"))
-    own = some.unionByName(rest).mapInArrow(run, "doc_id long, path string, own string, own_cosine double, speaks boolean")
+    own = some.unionByName(rest).mapInArrow(run, f"doc_id {kind}, path string, own string, own_cosine double, speaks boolean")
     steps = F.split("path", "/")
     own = own.withColumn("dir", F.array_join(F.slice(steps, F.lit(1), F.greatest(F.size(steps) - 1, F.lit(0))), "/"))
     own = cut(own, "licences")

@@ -8,7 +8,7 @@ there, and bytes are compared directly. Thousands of windows ("lanes") over a bu
 so that the scan is vectorised although each lane is the sequential algorithm.
 
 Defined results: a null or empty text matches nothing; an item that is null or has no words is ignored; a null id is kept
-as null; repeated rows give repeated results, repeated items count once per item id; empty tables give no rows; columns
+as null; ids keep their type; repeated rows give repeated results, repeated items count once per item id; empty tables give no rows; columns
 beyond the two named ones are not read.
 """
 
@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from arbolita.llm.batches import slices
+from arbolita.llm.batches import id_type, slices
 
 _ASCII = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _WIDE = re.compile("[\\u0080-\\u00a9\\u00ab-\\u00b4\\u00b6-\\u00b9\\u00bb-\\u00bf\\u2000-\\u206f\\u3000-\\u303f]")
@@ -140,13 +141,13 @@ def _occurrences(texts: list[str | None], search: WuManber) -> Iterator[tuple[in
         yield from flush(parts, offset, at)
 
 
-def _items(benchmark: DataFrame, item_col: str, item_text: str) -> list[tuple[int, str | None]]:
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
+def _items(benchmark: DataFrame, item_col: str, item_text: str) -> list[tuple[object, str | None]]:
+    rows = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     merged: dict[object, list[str]] = defaultdict(list)
     for r in rows.toLocalIterator():
         merged[r.i].append(r.t)
     flat = [(i, t) for i, ts in merged.items() for t in dict.fromkeys(ts)]
-    return sorted(flat, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return sorted((x for x in flat if x[0] is not None)) + sorted((x for x in flat if x[0] is None), key=lambda x: x[1])
 
 
 def _groups(items: list[tuple[int, str | None]], n: int) -> list[tuple[list[bytes], list[list[int]]]]:
@@ -175,8 +176,9 @@ def contaminated(
     in every pass: passes are added up by id and digest of the text, and the sum given as often as the row came.
     """
     items = _items(benchmark, item_col, item_text)
-    schema = "doc_id long, item_id long, n_matched long, coverage double"
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {id_type(docs, id_col)}, item_id {id_type(benchmark, item_col)}, n_matched long, coverage double"
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     strings_of: dict[object, set[bytes]] = defaultdict(set)
     for i, t in items:
         strings_of[i].update(needles([(i, t)], n)[0])
@@ -185,7 +187,7 @@ def contaminated(
 
     parts = _groups(items, n)
     several = len(parts) > 1
-    names, kinds = ["doc_id", "item_id", "n_matched", "coverage"], [pa.int64()] * 3 + [pa.float64()]
+    names, kinds = ["doc_id", "item_id", "n_matched", "coverage"], [item_type, pa.int64(), pa.float64()]
     if several:
         names, kinds = [*names, "digest", "part"], [*kinds, pa.binary(), pa.int32()]
 
@@ -193,16 +195,18 @@ def contaminated(
         def run(batches):
             search = WuManber(strings)
             for batch in slices(batches):
-                doc, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+                texts, rows, out = batch.column(1).to_pylist(), [], []
                 for at, hits in _occurrences(texts, search):
                     more = (xxhash.xxh3_128_digest(texts[at].encode()), part) if several else ()
                     per: dict[object, set[int]] = defaultdict(set)
                     for k in hits:
                         for o in owners[k]:
                             per[ids[o]].add(k)
-                    out += [(doc[at], i, len(s), len(s) / total[i], *more) for i, s in per.items()]
+                    rows += [at] * len(per)
+                    out += [(i, len(s), len(s) / total[i], *more) for i, s in per.items()]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=names)
 
         return narrow.mapInArrow(run, schema + ", digest binary, part int" if several else schema)
 

@@ -11,7 +11,7 @@ from tests.llm.edges import edge, empty
 def brute(rows, least=L.LEAST_COSINE):
     """Own licences by comparing every block with every template; inheritance by walking up."""
     terms = {w for _, t in L.TEMPLATES for w in L.normal(t).split()}
-    df = Counter(w for _, _, t in rows for w in set(L.normal(t or "").split()) & terms)
+    df = Counter(w for _, _, t in rows for w in set(L.normal(t or "").split()))
     idf = lambda w: math.log((1 + len(rows)) / (1 + df.get(w, 0))) + 1
 
     def vector(words):
@@ -108,3 +108,19 @@ def test_ordinary_words_weigh_by_their_frequency(spark, monkeypatch, known):
     assert (got[500].licence, got[500].how) == ("MIT", "own") and got[500].cosine == pytest.approx(want, abs=1e-8)
     assert (got[501].licence, got[501].how, got[501].from_dir) == ("MIT", "inherited", "n")
     assert got[502].how == "none"
+
+
+def test_templates_from_a_table_and_ids_of_any_type(spark, monkeypatch):
+    files = spark.createDataFrame([("u-1", "a/LICENSE", "these are the house rules of the river"), ("u-2", "a/b.c", "int x;"), (None, None, None)], "doc_id string, path string, text string")
+    templates = spark.createDataFrame([("house", "These are the house rules of the river!"), (None, "x"), ("y", None)], "licence string, text string")
+    got = {x.doc_id: (x.licence, x.how) for x in L.scan(files, templates).collect()}
+    assert got == {"u-1": ("house", "own"), "u-2": ("house", "inherited"), None: (None, "none")}
+    monkeypatch.setattr(L, "MOST_TEMPLATES", 2)
+    with pytest.raises(ValueError):
+        L.scan(files, templates)
+
+
+def test_every_template_is_found_as_its_own(spark):
+    rows = [(k, f"d{k}/f", text) for k, (_, text) in enumerate(L.TEMPLATES)]
+    got = {x.doc_id: x.licence for x in L.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(L.TEMPLATES)}

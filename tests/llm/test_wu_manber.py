@@ -81,3 +81,12 @@ def test_repeated_rows_and_null_ids_with_several_groups(spark):
     got = sorted((x.doc_id or 0, x.item_id, x.n_matched, round(x.coverage, 9)) for x in W.contaminated(df, bench).collect())
     part = lambda k: round(k / 6, 9)
     assert got == [(0, 1, 1, part(1)), (0, 1, 5, part(5)), (0, 2, 1, 1.0), (6, 1, 6, 1.0), (6, 1, 6, 1.0), (6, 2, 1, 1.0), (6, 2, 1, 1.0)]
+
+
+def test_ids_of_any_type(spark):
+    words = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([("u-1", words), (None, "zero " + words), ("u-2", "x")], "doc_id string, text string")
+    items = spark.createDataFrame([("i-1", words), (None, words), ("i-2", None)], "item_id string, text string")
+    got = sorted((str(r.doc_id), str(r.item_id), r.n_matched) for r in W.contaminated(docs, items).collect())
+    assert got == [("None", "None", 2), ("None", "i-1", 2), ("u-1", "None", 2), ("u-1", "i-1", 2)]
+    assert [r.doc_id for r in W.drop_contaminated(docs, items).collect()] == ["u-2"]
