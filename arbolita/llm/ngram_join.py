@@ -15,7 +15,7 @@ The boundary x is where the estimated cost, keys made plus list entries met, is
 mean length of a list. Nothing is capped: what the method cuts is cut by the bounds above.
 
 What is wanted is the classes of connected similar texts and how many similar texts each one has, so a group of many near
-copies is not written out pair by pair. In every list the neighbours by size, and each set with the first, are compared first;
+copies is not written out pair by pair. In every list the neighbours by size, and each set with the first, meet first, and those that meet often are compared;
 sets found connected need not meet again, and only lists that hold sets of several groups are scanned pair by pair, for
 pairs between groups. Groups are then final, and every similar pair lies within one. The links are counted there: a group
 is cut in blocks, and for every two blocks a task multiplies the sparse matrix of sets and runs with its transpose (equal
@@ -312,24 +312,25 @@ def _keys(x: int, t: Fraction, buckets: int):
     return run
 
 
-def _pair_rows(a: list[np.ndarray], b: list[np.ndarray], n: list[np.ndarray] | None = None) -> pa.RecordBatch:
+def _pair_rows(a: list[np.ndarray], b: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
     """Distinct pairs, smaller name first, with the sum of ``n``."""
     a, b = np.concatenate(a), np.concatenate(b)
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((hi, lo))
     lo, hi = lo[order], hi[order]
     first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(lo) else np.zeros(0, np.int64)
-    times = np.add.reduceat(np.concatenate(n)[order], first) if n is not None and len(first) else np.ones(len(first), np.int64)
+    times = np.add.reduceat(np.concatenate(n)[order], first) if len(first) else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(lo[first]), pa.array(hi[first]), pa.array(times.astype(np.int64))], names=["a", "b", "times"])
 
 
 def _neighbours(x: int, t: Fraction):
-    """Of lists in order of (kind, key, size): each set with the one before it and with the first, where sizes allow a link."""
+    """Of lists in order of (kind, key, size): (a, b, times) for each set with the one before it and with the first, where sizes allow a link."""
     num, den = t.numerator, t.denominator
 
     def run(batches):
         before = first = None  # kind, key, sid and size of the last row, and of the first of its list
-        got_a, got_b, held = [], [], 0
+        got: list[list[np.ndarray]] = [[], [], []]
+        held = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -340,18 +341,19 @@ def _neighbours(x: int, t: Fraction):
             new = np.concatenate([[True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])
             head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
             at = np.flatnonzero(~new)
-            for other in (at - 1, head[at]):
-                ok = (size[other] * den >= size[at] * num) & (sid[other] != sid[at]) & ((kind[at] == 1) | (size[at] > x))
-                got_a.append(sid[other[ok]])
-                got_b.append(sid[at[ok]])
+            for other, twice in ((at - 1, np.zeros(len(at), bool)), (head[at], head[at] == at - 1)):
+                ok = (size[other] * den >= size[at] * num) & (sid[other] != sid[at]) & ((kind[at] == 1) | (size[at] > x)) & ~twice
+                got[0].append(sid[other[ok]])
+                got[1].append(sid[at[ok]])
+                got[2].append(np.where(kind[at[ok]] == 1, LIST_K, 1))
                 held += int(ok.sum())
             before = [r[-1] for r in rows]
             first = [r[head[-1]] for r in rows]
             if held > _FLUSH:
-                yield _pair_rows(got_a, got_b)
-                got_a, got_b, held = [], [], 0
-        if got_a:
-            yield _pair_rows(got_a, got_b)
+                yield _pair_rows(*got)
+                got, held = [[], [], []], 0
+        if got[0]:
+            yield _pair_rows(*got)
         trim()
 
     return run
@@ -481,9 +483,7 @@ def _connected(pairs: DataFrame, keys: DataFrame, t: Fraction) -> DataFrame:
     block = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
     placed = cut(named.join(parts, "name", "left").select("a", "b", F.pmod(F.xxhash64("name", block), F.lit(tasks)).alias("task")), "placed")
     ids = cut(placed.select("task", F.explode(F.array("a", "b")).alias("sid")).distinct(), "ids")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else the runs of the sets are shuffled once more
-        ids = F.broadcast(ids)
-    sets = ids.join(keys.where("kind = 2").select("sid", "size", "runs"), "sid")
+    sets = _sent(ids).join(keys.where("kind = 2").select("sid", "size", "runs"), "sid")
     return cut(sets.groupBy("task").cogroup(placed.withColumnRenamed("task", "to").groupBy("to")).applyInArrow(_verify(t), "u long, v long"), "connected")
 
 
@@ -586,7 +586,7 @@ def _linked(t: Fraction):
 
 def _links(keys: DataFrame, groups: DataFrame, t: Fraction) -> DataFrame:
     """``sid, links``: how many other sets are similar, for every set of a group."""
-    sets = cut(keys.where("kind = 2").join(groups.select(F.col("id").alias("sid"), "group"), "sid").select("group", "sid", "size", "runs"), "grouped")
+    sets = cut(keys.where("kind = 2").join(_sent(groups).withColumnRenamed("id", "sid"), "sid").select("group", "sid", "size", "runs"), "grouped")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_RUNS)).cast("int")
     large = sets.groupBy("group").agg(blocks.alias("blocks")).where("blocks > 1")
     whole = sets.agg(F.count("*").alias("n"), F.sum("size").alias("runs")).first()
@@ -602,6 +602,11 @@ def _links(keys: DataFrame, groups: DataFrame, t: Fraction) -> DataFrame:
     return counted.groupBy("sid").agg(F.sum("links").alias("links"))
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """To every executor where there are at most ``BROADCAST_IDS`` rows; else joins shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def _whole_number(docs: DataFrame, id_col: str) -> Column:
     """The id as a long: itself, or its hash."""
     return F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
@@ -621,16 +626,17 @@ def _grouped(docs: DataFrame, n: int, t: Fraction, id_col: str, text_col: str) -
     lists = keys.where("kind < 2").select("kind", "key", "sid", "size")
     order = ("kind", "key", "size", "sid")
     met = lists.repartition("kind", "key").sortWithinPartitions(*order).mapInArrow(_neighbours(x, t), "a long, b long, times long")
-    edges = _connected(cut(met.select("a", "b").distinct(), "met"), keys, t)
+    often = lambda pairs: pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= LIST_K).select("a", "b")
+    edges = _connected(cut(often(met), "met"), keys, t)
     # an id with several texts connects them
     several = keys.where("kind = 3").groupBy("doc_id").agg(F.min("sid").alias("v"), F.max("sid").alias("w")).where("v <> w").select("doc_id", "v")
     edges = edges.unionByName(keys.where("kind = 3").join(several, "doc_id").select(F.col("sid").alias("u"), "v").where("u <> v"))
     groups = components(edges)
-    known = lists.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("group", F.coalesce("group", "sid"))
+    known = lists.join(_sent(groups).withColumnRenamed("id", "sid"), "sid", "left").withColumn("group", F.coalesce("group", "sid"))
     of = Window.partitionBy("kind", "key")
     mixed = known.withColumn("mixed", F.min("group").over(of) != F.max("group").over(of)).where("mixed").select("kind", "key", "sid", "size", "group")
     apart = mixed.repartition("kind", "key").sortWithinPartitions(*order).mapInArrow(_between(x, t), "a long, b long, times long")
-    candidates = cut(apart.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= LIST_K).select("a", "b"), "candidates")
+    candidates = cut(often(apart), "candidates")
     if candidates.limit(1).count():
         more = _connected(candidates, keys, t)
         groups = components(more.unionByName(groups.select(F.col("id").alias("u"), F.col("group").alias("v"))))
@@ -639,7 +645,7 @@ def _grouped(docs: DataFrame, n: int, t: Fraction, id_col: str, text_col: str) -
 
 def _members(keys: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``sid, doc_id, copies, least`` of documents that have a copy or a similar text, ``least`` being the class; ``sid, doc_id`` of the others."""
-    m = keys.where("kind = 3").select("sid", "doc_id", (F.col("key") - 1).alias("copies")).join(groups.withColumnRenamed("id", "sid"), "sid", "left")
+    m = keys.where("kind = 3").select("sid", "doc_id", (F.col("key") - 1).alias("copies")).join(_sent(groups).withColumnRenamed("id", "sid"), "sid", "left")
     some = m.where("group is not null or copies > 0").withColumn("group", F.coalesce("group", "sid"))
     least = some.groupBy("group").agg(F.min("doc_id").alias("least"))
     return some.join(least, "group").select("sid", "doc_id", "copies", "least"), m.where("group is null and copies = 0").select("sid", "doc_id")
@@ -673,6 +679,4 @@ def keep_one_of_each(docs: DataFrame, n: int = 3, threshold: Fraction = THRESHOL
     """
     some, _ = _members(*_grouped(docs, n, Fraction(threshold), id_col, text_col))
     gone = cut(some.where("doc_id <> least").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else the texts are shuffled by id
-        gone = F.broadcast(gone)
-    return docs.join(gone, _whole_number(docs, id_col) == F.col("__gone"), "left_anti")
+    return docs.join(_sent(gone), _whole_number(docs, id_col) == F.col("__gone"), "left_anti")
