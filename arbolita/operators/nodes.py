@@ -1,9 +1,10 @@
-"""XML documents as a node relation, parsed once.
+"""XML documents as trees and as a node relation, parsed once.
 
-One row per element in document order: ``tree_id, pre, post`` (its last descendant's number), ``parent, ord, depth`` (root 0), ``tag``,
-``skill_id`` (the ID of an Action or Condition, else the tag itself where it names a skill), ``attrs, n_children``. A document that
-doesn't parse is one row with null ``pre`` and its ``parse_error``: failure is data. Declarations of document types are refused
-before parsing, since entities can blow up.
+``bt_trees`` has one row per document with its elements in document order as an array of structs: ``pre, post`` (its last
+descendant's number), ``parent, ord, depth`` (root 0), ``tag, skill_id`` (the ID of an Action or Condition, else the tag itself
+where it names a skill), ``attrs, n_children``. Rules and metrics of a document are expressions over that array, so they need no
+shuffle. ``bt_nodes`` has one row per element. A document that doesn't parse has no elements and its ``parse_error``: failure is
+data. Declarations of document types are refused before parsing, since entities can blow up.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "tree_id string, pre int, post int, parent int, ord int, depth int, tag string, skill_id string, attrs map<string,string>, n_children int, parse_error string"
+NODE = "struct<pre:int,post:int,parent:int,ord:int,depth:int,tag:string,skill_id:string,attrs:map<string,string>,n_children:int>"
+FIELDS = ("pre", "post", "parent", "ord", "depth", "tag", "skill_id", "attrs", "n_children")
 CONTROL = ("Sequence", "Fallback", "ReactiveFallback", "Parallel", "Repeat")
 STRUCTURE = ("root", "BehaviorTree", "SubTree", "SubTreePlus")
 
@@ -49,37 +51,56 @@ def flatten(text: str | None, mode: str = "stripped") -> tuple[list[tuple], str
     return [tuple(r) for r in rows], None
 
 
-def bt_nodes(docs: DataFrame, id_col: str = "tree_id", xml_col: str = "xml", mode: str = "stripped") -> DataFrame:
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.string()]
-    names = [f.name for f in docs.sparkSession.createDataFrame([], SCHEMA).schema]
+def bt_trees(docs: DataFrame, id_col: str = "tree_id", xml_col: str = "xml", mode: str = "stripped", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``tree_id, nodes, parse_error`` of every document, and the columns named in ``keep`` as they came."""
+    types = [pa.int32()] * 5 + [pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32()]
+    node = pa.struct(list(zip(FIELDS, types)))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for tree, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            trees, errors = [], []
+            for text in batch.column(1).to_pylist():
                 rows, error = flatten(text, mode)
-                out += [(tree, *r, None) for r in rows] if error is None else [(tree, *[None] * 9, error)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                trees.append([dict(zip(FIELDS, r)) for r in rows])
+                errors.append(error)
+            columns = [batch.column(0), pa.array(trees, pa.list_(node)), pa.array(errors, pa.string()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["tree_id", "nodes", "parse_error", *keep])
+
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(id_col).cast("string").alias("tree_id"), F.col(xml_col).alias("__xml"), *keep).mapInArrow(run, f"tree_id string, nodes array<{NODE}>, parse_error string{more}")
+
+
+def bt_nodes(docs: DataFrame, id_col: str = "tree_id", xml_col: str = "xml", mode: str = "stripped") -> DataFrame:
+    """One row per element; a document that doesn't parse is one row with null ``pre``."""
+    trees = bt_trees(docs, id_col, xml_col, mode)
+    return trees.select("tree_id", "parse_error", F.inline_outer("nodes")).select("tree_id", *FIELDS, "parse_error")
 
-    return docs.select(F.col(id_col).cast("string").alias("tree_id"), F.col(xml_col).alias("xml")).mapInArrow(run, SCHEMA)
 
+def trees_of(nodes: DataFrame) -> DataFrame:
+    """Trees from the node relation: one shuffle by ``tree_id``."""
+    some = F.when(F.col("pre").isNotNull(), F.struct(*FIELDS))
+    # structs with maps don't compare, so the order is taken from the numbers
+    per = nodes.groupBy("tree_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("pre").isNotNull(), F.struct("pre", some.alias("n"))))).alias("m"), F.max("parse_error").alias("parse_error"))
+    return per.select("tree_id", F.transform(F.array_sort(F.map_keys("m")), lambda k: F.element_at("m", k)).alias("nodes"), "parse_error")
 
-def to_xml(nodes: DataFrame) -> DataFrame:
-    """``tree_id, xml`` again from the node relation: one tree per group, two blanks an indent."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["pre"] is None, r["pre"]))
-        if not rows or rows[0]["pre"] is None:
-            return pa.table({"tree_id": pa.array([rows[0]["tree_id"]], pa.string()), "xml": pa.array([None], pa.string())})
-        made: dict[int, ET.Element] = {}
-        for r in rows:
+def to_xml(trees: DataFrame) -> DataFrame:
+    """``tree_id, xml`` again from trees; two blanks an indent, null where a document didn't parse."""
+
+    def one(nodes: list[dict]) -> str | None:
+        made: list[ET.Element] = []
+        for r in nodes or []:
             el = ET.Element(r["tag"], dict(r["attrs"] or []))
-            made[r["pre"]] = el
+            made.append(el)
             if r["parent"] is not None:
                 made[r["parent"]].append(el)
-        root = made[rows[0]["pre"]]
-        ET.indent(root)
-        return pa.table({"tree_id": pa.array([rows[0]["tree_id"]], pa.string()), "xml": pa.array([ET.tostring(root, encoding="unicode")])})
+        if not made:
+            return None
+        ET.indent(made[0])
+        return ET.tostring(made[0], encoding="unicode")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(one, batch.column(1).to_pylist())), pa.string())], names=["tree_id", "xml"])
 
-    return nodes.groupBy("tree_id").applyInArrow(run, "tree_id string, xml string")
+    return trees.select("tree_id", "nodes").mapInArrow(run, "tree_id string, xml string")

@@ -89,11 +89,6 @@ shared(
     "seeded_sample",
     f"SELECT doc_id, h FROM (SELECT doc_id, md5({_FOUR.format('doc_id')}) AS h FROM {{documents}}) d ORDER BY h, doc_id LIMIT 200",
 )
-shared(
-    "split_exact_5pct",
-    f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5({_FOUR.format('doc_id')}), doc_id) AS k, count(*) OVER () AS n FROM {{documents}})
-        SELECT doc_id, CASE WHEN k <= ceil(n * 0.05) THEN 'test' ELSE 'train' END AS part FROM r""",
-)
 shared(
     "stratified_generation",
     "WITH w AS (SELECT n_name, n_regionkey, n_nationkey % 4 + 1 AS weight FROM {nation}) SELECT n_name, k FROM w LATERAL VIEW explode(sequence(1, weight)) t AS k",
@@ -110,10 +105,9 @@ shared(
     "ratio_allocation",
     "WITH n AS (SELECT source, count(*) AS n FROM {documents} GROUP BY source) SELECT source, n, CAST(round(0.3 * n) AS BIGINT) AS a, CAST(round(0.55 * n) AS BIGINT) AS b, n - CAST(round(0.3 * n) AS BIGINT) - CAST(round(0.55 * n) AS BIGINT) AS c FROM n",
 )
-shared("renumber_padded", f"SELECT doc_id, concat('test_', lpad(CAST(row_number() OVER (ORDER BY md5({_FOUR.format('doc_id')}), doc_id) AS VARCHAR(12)), 6, '0')) AS id FROM {{documents}}")
 shared("main_first_order", "SELECT n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY CASE WHEN n_nationkey % 5 = 3 THEN 0 ELSE 1 END, n_nationkey) AS place FROM {nation}")
 shared("cheapest_offer", "SELECT p_partkey, p_retailprice FROM {part} p LEFT ANTI JOIN (SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_quantity > 49) x ON p.p_partkey = x.l_partkey WHERE p_size >= 20 ORDER BY p_retailprice, p_partkey LIMIT 1", {"LEFT ANTI JOIN": "ANTI JOIN"})
-shared("next_run_number", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS run_date, max(event_id) + 1 AS next_id, concat(CAST(CAST(ts AS DATE) AS VARCHAR(10)), '_exp', lpad(CAST(count(*) + 1 AS VARCHAR(10)), 3, '0')) AS run_id FROM {events} GROUP BY CAST(ts AS DATE)")
+shared("next_run_number", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS run_date, max(event_id) + 1 AS next_id, concat(CAST(CAST(ts AS DATE) AS VARCHAR(10)), '_exp', CASE WHEN count(*) < 99 THEN lpad(CAST(count(*) + 1 AS VARCHAR(10)), 3, '0') ELSE CAST(count(*) + 1 AS VARCHAR(10)) END) AS run_id FROM {events} GROUP BY CAST(ts AS DATE)")
 shared("history_display", "SELECT event_id, date_format(ts, 'HH:mm:ss') AS time, coalesce(nullif(event_type, 'view'), '-') AS label, CASE WHEN value > 50 THEN 'valid' ELSE 'invalid' END AS status FROM {events}", {"date_format(ts, 'HH:mm:ss')": "strftime(ts, '%H:%M:%S')"})
 shared("union_labelled", "SELECT doc_id AS id, 'document' AS domain, length(text) AS chars FROM {documents} UNION ALL SELECT page_id, 'page', length(html) FROM {pages} UNION ALL SELECT item_id, 'benchmark', length(text) FROM {benchmark}")
 shared("novel_values", "SELECT DISTINCT lang FROM {documents} EXCEPT SELECT DISTINCT substr(lower(n_name), 1, 2) FROM {nation}")
@@ -126,7 +120,6 @@ shared("occurrence_averages", "SELECT lang, round(avg(CAST(length(text) - length
 shared("valid_only_mean", "SELECT count(*) AS n, avg(CASE WHEN quality = 1 THEN 1.0E0 - toxic END) AS mean_valid, avg(1.0E0 - toxic) AS mean_all FROM {labels}")
 shared("run_matrix", "SELECT role AS mode, count(*) AS runs, count(CASE WHEN text IS NULL OR length(text) = 0 THEN 1 END) AS failures, max(length(text)) AS longest FROM {conversations} GROUP BY role")
 shared("append_resume", "SELECT d.doc_id, d.source FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id", {"LEFT ANTI JOIN": "ANTI JOIN"})
-shared("positional_zip", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM {documents}), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS k FROM {pages}) SELECT a.doc_id, b.page_id FROM a JOIN b ON a.k = b.k")
 shared("dangling_refs", "SELECT p_partkey, (p_partkey * 7 + 3) % 2500 AS ref FROM {part} p LEFT ANTI JOIN (SELECT p_partkey AS k FROM {part}) d ON (p.p_partkey * 7 + 3) % 2500 = d.k", {"LEFT ANTI JOIN": "ANTI JOIN"})
 shared("dead_definitions", "SELECT p_partkey FROM {part} p LEFT ANTI JOIN (SELECT (p_partkey * 7 + 3) % 2500 AS ref FROM {part}) r ON p.p_partkey = r.ref WHERE p_partkey <> 0", {"LEFT ANTI JOIN": "ANTI JOIN"})
 _EDGES = "e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM {nation})"
@@ -157,12 +150,6 @@ shared("asof_last_value", "SELECT event_id, user_id, lag(value) OVER (PARTITION
 shared("availability_failover", "SELECT user_id, coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END), max(CASE WHEN event_type = 'click' THEN event_id END), -1) AS chosen FROM {events} GROUP BY user_id")
 shared("config_projection", "SELECT n_name, concat(n_name, '-', coalesce(CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(n_nationkey AS VARCHAR(4)) END, r_name)) AS run_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey")
 shared("catalog_summary_text", "SELECT r_name, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name) AS members, count(*) AS n FROM {region} JOIN {nation} ON r_regionkey = n_regionkey GROUP BY r_name", {"listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name)": "string_agg(n_name, ', ' ORDER BY n_name)"})
-shared(
-    "embedding_top_k",
-    """WITH q AS (SELECT vec_id, embedding FROM {embeddings}), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(aggregate(zip_with(q.embedding, e.embedding, (a, b) -> CAST(a AS DOUBLE) * CAST(b AS DOUBLE)), CAST(0 AS DOUBLE), (x, y) -> x + y), 4) AS dot
-        FROM q JOIN {embeddings} e ON q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, vec_id) AS k FROM s) SELECT query_id, vec_id, k FROM r WHERE k <= 5""",
-    {"aggregate(zip_with(q.embedding, e.embedding, (a, b) -> CAST(a AS DOUBLE) * CAST(b AS DOUBLE)), CAST(0 AS DOUBLE), (x, y) -> x + y)": "list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"},
-)
 shared(
     "pareto_front",
     "SELECT a.s_suppkey, a.s_acctbal, a.s_nationkey FROM {supplier} a LEFT ANTI JOIN {supplier} b ON b.s_nationkey = a.s_nationkey AND b.s_acctbal > a.s_acctbal",

@@ -2,6 +2,8 @@
 
 from arbolita.plans.derived_trees import LEAVES, NODES
 from arbolita.plans.shared_sql import shared
+from arbolita.registry import query
+from arbolita.sources.tables import table
 
 CATALOG = "catalog AS (SELECT concat('S', CAST(n AS VARCHAR(10))) AS skill_id, n FROM (SELECT DISTINCT CAST(p_partkey % 25 AS BIGINT) AS n FROM {part}) c)"
 
@@ -72,16 +74,29 @@ shared(
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS produced FROM leaves WHERE parent_tag = 'Sequence')
         SELECT tree_id, parent, pre FROM seen WHERE skill_no % 7 IN (1, 2) AND produced = 0""",
 )
-shared(
+_OWN = NODES.replace("{lineitem}", "lineitem")
+
+
+def _sql(name: str, text: str, oracle: str) -> None:
+    """Register ``text`` for Spark with an oracle that takes another way."""
+
+    @query(name, oracle)
+    def run(spark, sf_dir):
+        return spark.sql(text, lineitem=table(spark, sf_dir, "lineitem"))
+
+
+# by intervals here, by the parent there: in these trees a leaf's only control ancestor is its parent
+_sql(
     "ancestor_containment",
     f"""WITH {NODES} SELECT d.tree_id, d.pre, d.skill_id, a.pre AS fallback_pre FROM nodes d JOIN nodes a
         ON d.tree_id = a.tree_id AND d.pre BETWEEN a.pre AND a.post WHERE d.tag = 'Condition' AND a.tag = 'Fallback'""",
+    f"WITH {_OWN} SELECT tree_id, pre, skill_id, parent AS fallback_pre FROM leaves WHERE tag = 'Condition' AND parent_tag = 'Fallback'",
 )
-shared(
+_sql(
     "condition_outside_fallback",
     f"""WITH {NODES}, f AS (SELECT * FROM nodes WHERE tag = 'Fallback') SELECT c.tree_id, c.pre, c.skill_id FROM nodes c LEFT ANTI JOIN f
         ON c.tree_id = f.tree_id AND c.pre BETWEEN f.pre AND f.post WHERE c.tag = 'Condition'""",
-    {"LEFT ANTI JOIN": "ANTI JOIN"},
+    f"WITH {_OWN} SELECT tree_id, pre, skill_id FROM leaves WHERE tag = 'Condition' AND parent_tag <> 'Fallback'",
 )
 shared(
     "first_failing_check",
@@ -140,36 +155,21 @@ shared(
     f"""WITH {_METRICS} SELECT count(*) AS n, avg(CASE WHEN n_bad = 0 THEN 1.0E0 ELSE 0.0E0 END) AS validity_rate, avg(CASE WHEN n_bad > 0 THEN 1.0E0 ELSE 0.0E0 END) AS hallucination_rate,
         avg(CAST(n_bad AS DOUBLE)) AS mean_hallucinated, avg(CAST(n_skills AS DOUBLE)) AS mean_skills, avg(CASE WHEN n_bad = 0 THEN CAST(n_skills AS DOUBLE) END) AS mean_skills_valid FROM t""",
 )
-_SCORES = f"""{_METRICS}, scored AS (SELECT t.tree_id, n_skills, n_conditions, n_warn, o_orderpriority AS category, round(greatest(CAST(0.5 AS DOUBLE), 1 - CAST(0.1 AS DOUBLE) * n_warn), 1) AS score
+SCORES = f"""{_METRICS}, scored AS (SELECT t.tree_id, n_skills, n_conditions, n_warn, o_orderpriority AS category, round(greatest(CAST(0.5 AS DOUBLE), 1 - CAST(0.1 AS DOUBLE) * n_warn), 1) AS score
     FROM t JOIN {{orders}} ON o_orderkey = t.tree_id)"""
-shared("score_histogram", f"WITH {_SCORES} SELECT score, count(*) AS n FROM scored GROUP BY score")
+shared("score_histogram", f"WITH {SCORES} SELECT score, count(*) AS n FROM scored GROUP BY score")
 shared(
     "distribution_stats",
-    f"""WITH {_SCORES}, long AS (SELECT 'skills' AS metric, CAST(n_skills AS DOUBLE) AS v FROM scored UNION ALL SELECT 'conditions', CAST(n_conditions AS DOUBLE) FROM scored UNION ALL SELECT 'warnings', CAST(n_warn AS DOUBLE) FROM scored)
+    f"""WITH {SCORES}, long AS (SELECT 'skills' AS metric, CAST(n_skills AS DOUBLE) AS v FROM scored UNION ALL SELECT 'conditions', CAST(n_conditions AS DOUBLE) FROM scored UNION ALL SELECT 'warnings', CAST(n_warn AS DOUBLE) FROM scored)
         SELECT metric, min(v) AS lowest, avg(v) AS mean, percentile(v, 0.5) AS middle, max(v) AS highest FROM long GROUP BY metric""",
     {"percentile(v, 0.5)": "quantile_cont(v, 0.5)"},
 )
 shared(
     "score_histogram_zero_fill",
-    f"""WITH {_SCORES}, dim AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) + 4 AS tenth FROM {{lineitem}}), h AS (SELECT CAST(round(score * 10) AS BIGINT) AS tenth, count(*) AS n FROM scored GROUP BY 1)
+    f"""WITH {SCORES}, dim AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) + 4 AS tenth FROM {{lineitem}}), h AS (SELECT CAST(round(score * 10) AS BIGINT) AS tenth, count(*) AS n FROM scored GROUP BY 1)
         SELECT d.tenth, coalesce(h.n, 0) AS n FROM dim d LEFT JOIN h ON h.tenth = d.tenth""",
 )
-shared("category_scores", f"WITH {_SCORES} SELECT category, count(*) AS n, round(avg(score), 6) AS mean_score, min(score) AS worst, count(CASE WHEN score = 1 THEN 1 END) AS perfect FROM scored GROUP BY category")
-shared(
-    "filter_search_page",
-    f"""WITH {_SCORES}, hit AS (SELECT *, row_number() OVER (ORDER BY tree_id) AS place, count(*) OVER () AS hits FROM scored WHERE category = '1-URGENT' AND round(score, 1) = 0.8E0)
-        SELECT tree_id, category, score, place, hits FROM hit WHERE place > 10 AND place <= 20""",
-)
-shared(
-    "compare_pair",
-    f"""WITH {_SCORES}, k AS (SELECT *, row_number() OVER (ORDER BY tree_id) AS place, count(*) OVER () AS total FROM scored)
-        SELECT a.tree_id AS tree_a, b.tree_id AS tree_b, a.score IS NOT DISTINCT FROM b.score AS same_score, a.n_skills IS NOT DISTINCT FROM b.n_skills AS same_skills, a.n_warn IS NOT DISTINCT FROM b.n_warn AS same_warnings
-        FROM k a JOIN k b ON a.place = greatest(1, least(3, a.total)) AND b.place = greatest(1, least(1000000000, b.total))""",
-)
-shared(
-    "freq_topk_tiebreak",
-    f"WITH {LEAVES} SELECT skill_id, count(*) AS n, min(tree_id * 1000 + pre) AS first_seen FROM leaves GROUP BY skill_id ORDER BY n DESC, first_seen LIMIT 15",
-)
+shared("category_scores", f"WITH {SCORES} SELECT category, count(*) AS n, round(avg(score), 6) AS mean_score, min(score) AS worst, count(CASE WHEN score = 1 THEN 1 END) AS perfect FROM scored GROUP BY category")
 shared(
     "catalog_coverage",
     f"""WITH {LEAVES}, {CATALOG}, used AS (SELECT DISTINCT skill_id FROM leaves), b AS (SELECT c.skill_id AS c, u.skill_id AS u FROM catalog c FULL JOIN used u ON c.skill_id = u.skill_id)

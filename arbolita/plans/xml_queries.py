@@ -38,27 +38,20 @@ def xml_nodes(spark, sf_dir):
         round(sum(n_children) FILTER (tag IN ('Sequence', 'Fallback')) / count(*) FILTER (tag IN ('Sequence', 'Fallback')), 2) AS branching FROM nodes GROUP BY tree_id""",
 )
 def xml_structure_metrics(spark, sf_dir):
-    n, control = nodes.bt_nodes(documents(spark, sf_dir)), F.col("tag").isin(*nodes.CONTROL)
-    return n.groupBy("tree_id").agg(
-        F.max("depth").alias("depth"), F.count("*").alias("total_nodes"), F.count_if(F.col("tag") == "Action").alias("n_actions"), F.round(F.avg(F.when(control, F.col("n_children"))), 2).alias("branching")
+    """From the parsed documents alone: expressions over a tree's elements, nothing is shuffled again."""
+    control = lambda n: n["tag"].isin(*nodes.CONTROL)
+    children = F.transform(F.filter("nodes", control), lambda n: n["n_children"].cast("double"))
+    branching = F.round(F.aggregate(children, F.lit(0.0), lambda a, x: a + x) / F.size(children), 2)
+    return nodes.bt_trees(documents(spark, sf_dir)).select(
+        "tree_id", F.array_max(F.transform("nodes", lambda n: n["depth"])).alias("depth"), F.size("nodes").cast("long").alias("total_nodes"),
+        F.size(F.filter("nodes", lambda n: n["tag"] == "Action")).cast("long").alias("n_actions"), branching.alias("branching"),
     )
 
 
-@query("xml_verdicts")
-def xml_verdicts(spark, sf_dir):
-    """Validity and score of every document under the five levels of rules."""
-    return validate.verdicts(nodes.bt_nodes(documents(spark, sf_dir, real=True)))
-
-
-@query("xml_issues")
-def xml_issues(spark, sf_dir):
-    return validate.issues(nodes.bt_nodes(documents(spark, sf_dir, real=True)))
-
-
 @query("xml_roundtrip")
 def xml_roundtrip(spark, sf_dir):
     """Every document with its default ports put in, written as XML again."""
-    return nodes.to_xml(validate.enrich(nodes.bt_nodes(documents(spark, sf_dir, real=True))))
+    return nodes.to_xml(validate.enrich(nodes.bt_trees(documents(spark, sf_dir, real=True))))
 
 
 @query("tree_edit_distance")
@@ -83,9 +76,13 @@ def unified_diff(spark, sf_dir):
     return trees.unified_diff(c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "before", "text"), "id", "before", "text")
 
 
-@query("navigation_issues")
+_NAVIGATION = f"""WITH {_DUCK} SELECT CAST(tree_id AS VARCHAR) AS tree_id, 'error' AS level, 'tag_not_allowed' AS code, tag AS detail, pre::INT AS pre FROM nodes WHERE tag IN ('Action', 'Condition')
+    UNION ALL SELECT CAST(tree_id AS VARCHAR), 'error', 'root_main_tree', NULL, NULL FROM totals UNION ALL SELECT CAST(tree_id AS VARCHAR), 'warning', 'bt_unused_definition', 'main', NULL FROM totals"""
+
+
+@query("navigation_issues", _NAVIGATION)
 def navigation_issues(spark, sf_dir):
     """Findings of the second dialect's rules in every document."""
     from arbolita.operators import navigation
 
-    return navigation.issues(nodes.bt_nodes(documents(spark, sf_dir)))
+    return navigation.issues(nodes.bt_trees(documents(spark, sf_dir)))

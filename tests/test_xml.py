@@ -16,7 +16,7 @@ def tree(body, fmt='BTCPP_format="4"'):
     return f'<root {fmt}><BehaviorTree ID="m"><Sequence>{body}</Sequence></BehaviorTree></root>'
 
 
-GOOD = leaf("LoadMission") + leaf("MoveAndStop")
+GOOD = leaf("LoadMission") + leaf("PassMotionParameters") + leaf("MoveAndStop")
 CASES = {
     "good": (tree(GOOD), True, 1.0, []),
     "null": (None, False, 0.0, ["xml_parse"]),
@@ -29,20 +29,33 @@ CASES = {
     "no stop": (tree(leaf("LoadMission")), False, 0.0, ["no_move_and_stop"]),
     "format": (tree(GOOD, ""), True, 0.9, ["btcpp_format"]),
     "depth then thin": (tree(GOOD + "<Sequence>" * 12 + "<Fallback>" + leaf("Pause") + "</Fallback>" + "</Sequence>" * 12), False, 0.5, ["too_deep", "thin_fallback"]),
+    "depth 12": (tree(GOOD + "<Sequence>" * 9 + leaf("Pause") + "</Sequence>" * 9), True, 1.0, []),
+    "depth 13": (tree(GOOD + "<Sequence>" * 11 + leaf("Move") + "</Sequence>" * 11), False, 0.0, ["too_deep"]),
     "prerequisite": (tree(leaf("CreatePath") + GOOD + leaf("ProjectPointOnNetwork")), True, 0.9, ["prerequisite"]),
+    "prerequisite of several trees": (tree(leaf("CreatePath") + GOOD).replace("</root>", '<BehaviorTree ID="n"/></root>'), True, 1.0, []),
+    "tree not below root": ('<root BTCPP_format="4"><Sequence><BehaviorTree ID="m">' + GOOD + "</BehaviorTree><Fallback/></Sequence></root>", False, 0.0, ["no_behavior_tree"]),
+    "format and unknown": (tree("<Odd/>" + GOOD, ""), False, 0.0, ["unknown_tag"]),
+    "action of a condition's name": (tree(GOOD + '<Action ID="MissionTerminated"/>'), True, 1.0, []),
+    "port of a skill without ports": (tree(GOOD + '<Action ID="ManageMeasurements" odd="1" name="x"/>'), True, 0.9, ["unknown_port"]),
+    "type and domain": (tree(GOOD + leaf("CheckCurrentStepType", type_to_be_checked="1.5")), True, 0.8, ["port_type", "port_domain"]),
+    "two consumers first": (tree(leaf("LoadMission") + leaf("Move") + leaf("Move") + leaf("PassMotionParameters") + leaf("MoveAndStop")), True, 0.8, ["consumer_before_producer"] * 2),
+    "no producer": (tree(leaf("LoadMission") + leaf("MoveAndStop")), True, 0.9, ["consumer_before_producer"]),
+    "execution without loop": (tree(GOOD).replace('ID="m"', 'ID="execute"'), True, 0.9, ["execution_loop"]),
+    "execution with loop": (tree(GOOD + '<ReactiveFallback><Repeat num_cycles="-1">' + leaf("Pause") + "</Repeat>" + leaf("MissionTerminated") + "</ReactiveFallback>").replace('ID="m"', 'ID="execution"'), True, 1.0, []),
+    "subtree and repeat": (tree(GOOD + "<SubTreePlus/><Repeat/>"), True, 0.6000000000000001, ["empty_control", "subtree_id", "subtree_autoremap", "repeat_cycles"]),
+    "skill as tag": (tree('<LoadMission mission_file_path="{m}"/><PassMotionParameters motion_params="{p}"/><MoveAndStop motion_params="p"/>'), True, 0.9, ["port_type"]),
     "bare condition": (tree(GOOD + leaf("MissionTerminated")), True, 0.9, ["condition_outside_fallback"]),
     "covered condition": (tree(GOOD + "<Fallback>" + leaf("MissionTerminated") + leaf("Pause") + "</Fallback>"), True, 1.0, []),
-    "ports": (tree(GOOD + leaf("Move", threshold_type="1.5") + leaf("Pause", duration=None, odd="1")), True, 0.6000000000000001, ["missing_port", "unknown_port", "port_type", "port_domain"]),
-    "late producer": (tree(GOOD + leaf("PassMotionParameters")), True, 0.9, ["consumer_before_producer"]),
-    "no load": (tree(leaf("MoveAndStop")), True, 0.9, ["no_load_mission"]),
+    "ports": (tree(GOOD + leaf("Move", threshold_type="1.5") + leaf("Pause", duration=None, odd="1")), True, 0.6000000000000001, ["port_type", "port_domain", "missing_port", "unknown_port"]),
+    "no load": (tree(leaf("PassMotionParameters") + leaf("MoveAndStop")), True, 0.9, ["no_load_mission"]),
 }
 
 
 def test_rules(spark):
     df = spark.createDataFrame([(k, v[0]) for k, v in CASES.items()], "tree_id string, xml string")
-    parsed = nodes.bt_nodes(df)
+    parsed = nodes.bt_trees(df)
     found = {}
-    for r in validate.issues(parsed).orderBy("seq").collect():
+    for r in validate.issues(parsed).orderBy("level", "step", "pre", "sub").collect():
         found.setdefault(r.tree_id, []).append(r.code)
     assert {k: found.get(k, []) for k in CASES} == {k: v[3] for k, v in CASES.items()}
     got = {r.tree_id: (r.valid, r.score) for r in validate.verdicts(parsed).collect()}
@@ -51,10 +64,10 @@ def test_rules(spark):
 
 def test_enrich_twice_and_write(spark):
     df = spark.createDataFrame([("a", tree(GOOD + leaf("Pause", duration=None)))], "tree_id string, xml string")
-    once = validate.enrich(nodes.bt_nodes(df))
+    once = validate.enrich(nodes.bt_trees(df))
     xml = nodes.to_xml(once).first().xml
     assert 'duration="2.0"' in xml
-    again = validate.enrich(nodes.bt_nodes(spark.createDataFrame([("a", xml)], "tree_id string, xml string")))
+    again = validate.enrich(nodes.bt_trees(spark.createDataFrame([("a", xml)], "tree_id string, xml string")))
     assert nodes.to_xml(again).first().xml == xml
 
 
@@ -72,7 +85,7 @@ def test_edit_distance(a, b, d):
 def test_second_dialect(spark):
     bad = """<root main_tree_to_execute="a"><BehaviorTree ID="a"><Sequence><SubTree ID="b"/><SubTree ID="gone"/><Wait wait_duration="x" odd="1"/><Spin/><Sequence/><Repeat><Wait wait_duration="{t}"/></Repeat></Sequence></BehaviorTree>
     <BehaviorTree ID="b"><SubTree ID="a"/></BehaviorTree><BehaviorTree ID="c"/><BehaviorTree/><Fly/></root>"""
-    n = nodes.bt_nodes(spark.createDataFrame([("x", bad)], "tree_id string, xml string"))
+    n = nodes.bt_trees(spark.createDataFrame([("x", bad)], "tree_id string, xml string"))
     codes = sorted((r.code, r.detail) for r in navigation.issues(n).collect())
     assert codes == [
         ("attr_type_mismatch", "wait_duration=x"), ("blackboard_unproduced", "t"), ("bt_empty", ""), ("bt_empty", "c"), ("bt_missing_id", None), ("bt_unused_definition", "c"), ("empty_control_node", "Sequence"),
