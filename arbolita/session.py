@@ -39,12 +39,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def swept(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when this process ends."""
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/arbolita/{name}-{uuid.uuid4().hex}"
+    path = swept(spark, f"{shared_folder(spark)}/arbolita/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,4 +60,4 @@ def _clean() -> None:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the JVM may be gone by now; the shared folder's owner sweeps it then
-            return
+            continue

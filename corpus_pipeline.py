@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from arbolita.llm import deobfuscate, ecoc_langid, ngram_join, spm_trie, wu_manber
-from arbolita.session import shared_folder
+from arbolita.session import shared_folder, swept
 from arbolita.sources.tables import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -53,7 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = swept(spark, f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
