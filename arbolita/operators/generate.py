@@ -6,7 +6,7 @@ import json
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolita.operators import catalog as C
@@ -220,8 +220,8 @@ def accepted(candidates: DataFrame, ok: Column, n: int, order: str = "id", most:
 
 def distinct_missions(candidates: DataFrame, n: int) -> DataFrame:
     """n candidates of different texts, the first of equal ones, in order of id."""
-    w = Window.partitionBy("mission").orderBy("id")
-    return candidates.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k").orderBy("id").limit(n)
+    row = F.struct(*candidates.columns)
+    return candidates.groupBy("mission").agg(F.min_by(row, "id").alias("__r")).select("__r.*").orderBy("id").limit(n)
 
 
 #: categories of step lists of the second dialect, as (skill, parameters with their least and greatest value)

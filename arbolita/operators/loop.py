@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from arbolita.operators import reward
 from arbolita.operators.nodes import bt_trees
-from arbolita.operators.validate import scored, told
+from arbolita.operators.reward import told
+from arbolita.operators.validate import scored
 from arbolita.session import cut
 
 

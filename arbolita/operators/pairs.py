@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbolita.operators.order import numbered
+
 
 def ranked(candidates: DataFrame, by: str = "mission", score: str = "score", idx: str = "idx") -> DataFrame:
-    """The rows with ``rn`` (best first, ties by ``idx``) and ``n``; the candidates of one mission are few."""
-    w = Window.partitionBy(by)
-    return candidates.withColumn("rn", F.row_number().over(w.orderBy(F.desc(score), idx))).withColumn("n", F.count("*").over(w))
+    """The rows with ``rn`` (best first, ties by ``idx``, no score last) and ``n`` of their mission; rows without mission go.
+
+    Places come from the order of all rows, so the candidates of one mission may be more than a task can hold.
+    """
+    rows = numbered(candidates.where(F.col(by).isNotNull()), F.col(by), F.desc(score), F.col(idx), name="__k")
+    per = rows.groupBy(by).agg(F.min("__k").alias("__lo"), F.count("*").alias("n"))
+    return rows.join(per, by).withColumn("rn", F.col("__k") - F.col("__lo") + 1).drop("__k", "__lo")
 
 
 def preferences(candidates: DataFrame, strategy: str = "multi", k: int = 4, by: str = "mission", score: str = "score", idx: str = "idx", text: str = "completion") -> DataFrame:
@@ -19,26 +25,27 @@ def preferences(candidates: DataFrame, strategy: str = "multi", k: int = 4, by:
     in order of ranks. augmented: multi, and the best against each of its degraded copies (rows of ``candidates`` with ``degraded_of``
     equal to the best's ``idx``), which take no part in the ranking.
     """
+    if strategy not in ("single", "multi", "augmented"):
+        raise ValueError(f"strategy {strategy!r}")
     own = candidates.where("degraded_of is null") if "degraded_of" in candidates.columns else candidates
-    r = ranked(own, by, score, idx)
-    a, b = r.alias("a"), r.alias("b")
-    same = F.col(f"a.{by}") == F.col(f"b.{by}")
-    half = F.greatest(F.lit(1), F.floor(F.col("a.n") / 2))
-    better = F.col(f"a.{score}") > F.col(f"b.{score}")
-    out = [F.col(f"a.{by}").alias(by), F.col(f"a.{text}").alias("chosen"), F.col(f"b.{text}").alias("rejected"), F.col(f"a.{score}").alias("chosen_score"), F.col(f"b.{score}").alias("rejected_score")]
+    r = ranked(own.withColumnsRenamed({by: "__m", score: "__s", idx: "__i", text: "__t"}), "__m", "__s", "__i")
+    a = r.select("__m", F.col("__i").alias("__best"), F.col("__s").alias("__sa"), F.col("__t").alias("__ta"), F.col("rn").alias("__ra"), "n")
+    b = r.select("__m", F.col("__s").alias("__sb"), F.col("__t").alias("__tb"), F.col("rn").alias("__rb"))
+    out = [F.col("__m").alias(by), F.col("__ta").alias("chosen"), F.col("__tb").alias("rejected"), F.col("__sa").alias("chosen_score"), F.col("__sb").alias("rejected_score")]
     if strategy == "single":
-        return a.join(b, same & (F.col("a.rn") == 1) & (F.col("b.rn") == F.col("b.n"))).where(better).select(*out, F.lit("single").alias("source"))
-    if strategy not in ("multi", "augmented"):
-        raise ValueError(f"strategy {strategy!r}")
-    crossed = a.join(b, same & (F.col("a.rn") <= half) & (F.col("b.rn") > half)).where(better)
-    place = F.row_number().over(Window.partitionBy(f"a.{by}").orderBy("a.rn", "b.rn"))
-    pairs = crossed.select(*out, place.alias("k"), F.lit("multi").alias("source")).where(F.col("k") <= k).drop("k")
+        return a.where("__ra = 1").withColumn("__rb", F.col("n")).join(b, ["__m", "__rb"]).where("__sa > __sb").select(*out, F.lit("single").alias("source"))
+    # pairs are sought by rank, at most k of each of the k best: those behind the first of a lower score all score lower
+    half = F.greatest(F.lit(1), F.floor(F.col("n") / 2))
+    last = r.groupBy("__m", F.col("__s").alias("__sa")).agg(F.max("rn").alias("__last"))
+    start = F.greatest(half, F.col("__last")) + 1
+    to = F.least(start + k - 1, F.col("n"))
+    sought = a.where((F.col("__ra") <= k) & (F.col("__ra") <= half)).join(last, ["__m", "__sa"]).where(start <= F.col("n")).withColumn("__rb", F.explode(F.sequence(start, to)))
+    place = F.row_number().over(Window.partitionBy("__m").orderBy("__ra", "__rb"))
+    pairs = sought.join(b, ["__m", "__rb"]).where("__sa > __sb").withColumn("__k", place).where(F.col("__k") <= k).select(*out, F.lit("multi").alias("source"))
     if strategy == "multi" or "degraded_of" not in candidates.columns:
         return pairs
-    best = r.where("rn = 1").alias("a")
-    worse = candidates.where("degraded_of is not null").alias("b")
-    more = best.join(worse, same & (F.col(f"a.{idx}") == F.col("b.degraded_of"))).where(better).select(*out, F.lit("augmented").alias("source"))
-    return pairs.unionByName(more)
+    worse = candidates.where("degraded_of is not null").select(F.col(by).alias("__m"), F.col("degraded_of").alias("__best"), F.col(score).alias("__sb"), F.col(text).alias("__tb"))
+    return pairs.unionByName(a.where("__ra = 1").join(worse, ["__m", "__best"]).where("__sa > __sb").select(*out, F.lit("augmented").alias("source")))
 
 
 def write_pairs(pairs: DataFrame, path: str, iteration: int) -> None:

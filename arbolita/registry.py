@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from arbolita.plans import mission_queries, order_queries, reports, stream_queries, text_queries, tree_queries, xml_queries  # noqa: F401
+    from arbolita.plans import mission_queries, order_queries, reports, stream_queries, text_queries, training_queries, tree_queries, xml_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
