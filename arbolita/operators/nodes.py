@@ -10,7 +10,9 @@ data. Declarations of document types are refused before parsing, since entities
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ NODE = "struct<pre:int,post:int,parent:int,ord:int,depth:int,tag:string,skill_id
 FIELDS = ("pre", "post", "parent", "ord", "depth", "tag", "skill_id", "attrs", "n_children")
 CONTROL = ("Sequence", "Fallback", "ReactiveFallback", "Parallel", "Repeat")
 STRUCTURE = ("root", "BehaviorTree", "SubTree", "SubTreePlus")
+PLAIN_NOT = frozenset((*CONTROL, *STRUCTURE))
 
 
 def flatten(text: str | None, mode: str = "stripped") -> tuple[list[tuple], str | None]:
@@ -51,20 +54,99 @@ def flatten(text: str | None, mode: str = "stripped") -> tuple[list[tuple], str
     return [tuple(r) for r in rows], None
 
 
+class Columns:
+    """Elements of many documents as columns, filled by expat's events; documents that it refuses or that have namespaces go through ``flatten``."""
+
+    def __init__(self, mode: str = "stripped"):
+        self.mode = mode
+        self.parent: list[int | None] = []
+        self.post: list[int] = []
+        self.order: list[int] = []
+        self.depth: list[int] = []
+        self.tag: list[str] = []
+        self.skill: list[str | None] = []
+        self.children: list[int] = []
+        self.flat: list[str] = []  # name, value, name, value ...
+        self.attr_ends: list[int] = [0]
+        self.ends: list[int] = [0]
+        self.errors: list[str | None] = []
+
+    def add(self, text: str | None) -> None:
+        base, flat = len(self.tag), len(self.flat)
+        if text and "<!DOCTYPE" not in text and "xmlns" not in text and "xml:" not in text and self._parse(text, base):
+            self.errors.append(None)
+        else:
+            for column in (self.parent, self.post, self.order, self.depth, self.tag, self.skill, self.children):
+                del column[base:]
+            del self.flat[flat:], self.attr_ends[base + 1 :]
+            rows, error = flatten(text, self.mode)
+            for _, post, parent, order, depth, tag, skill, attrs, children in rows:
+                for column, x in zip((self.parent, self.post, self.order, self.depth, self.tag, self.skill, self.children), (parent, post, order, depth, tag, skill, children)):
+                    column.append(x)
+                for pair in attrs:
+                    self.flat += pair
+                self.attr_ends.append(len(self.flat) >> 1)
+            self.errors.append(error)
+        self.ends.append(len(self.tag))
+
+    def _parse(self, text: str, base: int) -> bool:
+        parents, posts, orders, depths, tags, skills, children = self.parent, self.post, self.order, self.depth, self.tag, self.skill, self.children
+        flat, attr_ends, stack = self.flat, self.attr_ends, []
+
+        def start(tag, attrs):
+            at = len(tags)
+            if stack:
+                up = stack[-1]
+                n = children[up] + 1
+                children[up] = n
+                orders.append(n)
+                parents.append(up - base)
+            else:
+                orders.append(1)
+                parents.append(None)
+            depths.append(len(stack))
+            stack.append(at)
+            tags.append(tag)
+            posts.append(0)
+            children.append(0)
+            if tag == "Action" or tag == "Condition":
+                skills.append(attrs[1] if attrs and attrs[0] == "ID" else dict(zip(attrs[::2], attrs[1::2])).get("ID"))
+            else:
+                skills.append(None if tag in PLAIN_NOT else tag)
+            flat.extend(attrs)
+            attr_ends.append(len(flat) >> 1)
+
+        def end(tag):
+            posts[stack.pop()] = len(tags) - 1 - base
+
+        parser = expat.ParserCreate("utf-8", "}")
+        parser.ordered_attributes = True
+        parser.StartElementHandler, parser.EndElementHandler = start, end
+        try:
+            parser.Parse(text.strip().lstrip("\ufeff") if self.mode == "stripped" else text, True)
+        except (expat.ExpatError, ValueError):
+            return False
+        return True
+
+    def arrays(self) -> tuple[pa.Array, pa.Array]:
+        """The documents' elements and their errors, as Arrow."""
+        ends = np.array(self.ends, np.int32)
+        pre = np.arange(ends[-1], dtype=np.int32) - np.repeat(ends[:-1], np.diff(ends))
+        number = lambda x: pa.array(x, pa.int32())
+        attrs = pa.MapArray.from_arrays(number(self.attr_ends), pa.array(self.flat[::2], pa.string()), pa.array(self.flat[1::2], pa.string()))
+        columns = [pa.array(pre), number(self.post), number(self.parent), number(self.order), number(self.depth), pa.array(self.tag, pa.string()), pa.array(self.skill, pa.string()), attrs, number(self.children)]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names=list(FIELDS))), pa.array(self.errors, pa.string())
+
+
 def bt_trees(docs: DataFrame, id_col: str = "tree_id", xml_col: str = "xml", mode: str = "stripped", keep: tuple[str, ...] = ()) -> DataFrame:
     """``tree_id, nodes, parse_error`` of every document, and the columns named in ``keep`` as they came."""
-    types = [pa.int32()] * 5 + [pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32()]
-    node = pa.struct(list(zip(FIELDS, types)))
 
     def run(batches):
         for batch in batches:
-            trees, errors = [], []
+            made = Columns(mode)
             for text in batch.column(1).to_pylist():
-                rows, error = flatten(text, mode)
-                trees.append([dict(zip(FIELDS, r)) for r in rows])
-                errors.append(error)
-            columns = [batch.column(0), pa.array(trees, pa.list_(node)), pa.array(errors, pa.string()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["tree_id", "nodes", "parse_error", *keep])
+                made.add(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made.arrays(), *batch.columns[2:]], names=["tree_id", "nodes", "parse_error", *keep])
 
     more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col(id_col).cast("string").alias("tree_id"), F.col(xml_col).alias("__xml"), *keep).mapInArrow(run, f"tree_id string, nodes array<{NODE}>, parse_error string{more}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolita.operators.catalog import PREREQUISITES, SKILLS
+from arbolita.plans.assemble import joined, numbered, texts
 from arbolita.sources.tables import table
 
 MISSIONS = (
@@ -47,10 +48,6 @@ XML = """,
         SELECT tree_id, concat('<root', CASE WHEN tree_id % 11 = 0 THEN '' ELSE ' BTCPP_format="4"' END, '><BehaviorTree ID="', CASE WHEN tree_id % 5 = 0 THEN 'execute' ELSE 'main' END, '">',
                {control_list}, '</BehaviorTree></root>') AS xml
         FROM control_xml GROUP BY tree_id)"""
-_SPARK = {
-    "{attr_list}": "listagg(concat(' ', port, '=\"', value, '\"'), '') WITHIN GROUP (ORDER BY no)", "{leaf_list}": "listagg(x, '') WITHIN GROUP (ORDER BY ord)",
-    "{control_list}": "listagg(x, '') WITHIN GROUP (ORDER BY parent)",
-}
 _DUCK = {
     "{attr_list}": "string_agg(concat(' ', port, '=\"', value, '\"'), '' ORDER BY no)", "{leaf_list}": "string_agg(x, '' ORDER BY ord)", "{control_list}": "string_agg(x, '' ORDER BY parent)",
     "{lineitem}": "lineitem", "{skills}": "skills", "{ports}": "ports",
@@ -65,11 +62,35 @@ def _replaced(text: str, by: dict[str, str]) -> str:
     return text
 
 
+def _leaf_texts() -> list[str]:
+    """The start of a leaf by skill (Fly after those of the catalog), quantity modulo 5 (5 for none) and whether its values are wrong."""
+    out = []
+    for name, tag, ports in [*((s, t, p) for _, s, t, p in SKILLS), ("Fly", "Action", [])]:
+        for q in range(6):
+            for wrong in (False, True):
+                given = [(p, d) for no, (p, _, d, _) in enumerate(ports) if q < 5 and (q + no) % 5]
+                out.append(f'<{tag} ID="{name}"' + "".join(f' {p}="{"x1" if wrong else d}"' for p, d in given))
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tree_id, xml, mission, completion``: the last is the document within prose; every 23rd has none, every 29th an unclosed one."""
-    skills = spark.createDataFrame(_SKILL_ROWS, "k long, skill string, tag string")
-    ports = spark.createDataFrame(_PORT_ROWS, "skill string, port string, no long, kind string, default_value string, allowed string")
-    df = spark.sql(_replaced(f"WITH {LINES}{XML} SELECT * FROM docs", _SPARK), lineitem=table(spark, sf_dir, "lineitem"), skills=skills, ports=ports)
+    names = [s for _, s, _, _ in SKILLS]
+    column = F.col
+    lines = numbered(table(spark, sf_dir, "lineitem"), *map(column, ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+    part = column("l_partkey") % len(names)
+    skill = (
+        F.when(~part.between(0, len(names) - 1) | part.isNull(), None).when(column("seq") == 1, names.index("LoadMission")).when((column("seq") == 2) & (column("tree_id") % 10 != 3), names.index("MoveAndStop"))
+        .when(column("l_suppkey") % 37 == 0, len(names)).otherwise(part)
+    )
+    quantity = F.coalesce(F.pmod(F.floor("l_quantity").cast("long"), F.lit(5)), F.lit(5))
+    place = skill * 12 + quantity * 2 + F.coalesce(column("l_tax") > 0.07, F.lit(False)).cast("int")
+    price = F.when(column("l_discount") > 0.08, F.concat(F.lit(' price="'), F.coalesce(F.floor("l_extendedprice").cast("long").cast("string"), F.lit("")), F.lit('"'))).otherwise("")
+    leaf = F.concat(F.get(texts(_leaf_texts()), place.cast("int")), price, F.lit("/>"))
+    head = F.concat(
+        F.when(column("tree_id") % 11 == 0, "<root").otherwise('<root BTCPP_format="4"'), F.lit('><BehaviorTree ID="'), F.when(column("tree_id") % 5 == 0, "execute").otherwise("main"), F.lit('">')
+    )
+    df = joined(lines.select("tree_id", "flag", "seq", leaf.alias("leaf")), head, "</BehaviorTree></root>")
     mission = F.element_at(F.array(*map(F.lit, MISSIONS)), (F.col("tree_id") % len(MISSIONS) + 1).cast("int"))
     completion = F.when(F.col("tree_id") % 23 == 0, "no document").when(F.col("tree_id") % 29 == 0, "Voici: <root><a>").otherwise(F.concat(F.lit("Voici: "), "xml", F.lit(" fin")))
     return df.select("tree_id", "xml", mission.alias("mission"), completion.alias("completion"))

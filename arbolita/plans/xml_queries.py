@@ -5,23 +5,20 @@ from pyspark.sql import functions as F
 from arbolita.functions import trees
 from arbolita.operators import nodes, validate
 from arbolita.operators.catalog import SKILLS
-from arbolita.plans.derived_trees import LEAVES, NODES
+from arbolita.plans.assemble import joined, numbered, texts
+from arbolita.plans.derived_trees import NODES
 from arbolita.registry import query
 from arbolita.sources.tables import table
 
-_XML = f"""WITH {LEAVES}, named AS (SELECT l.*, concat('<', tag, ' ID="', {{id}}, '" price="', CAST(CAST(price AS INT) AS VARCHAR(12)), '"', CASE WHEN has_qty THEN ' qty="1"' ELSE '' END, '/>') AS leaf FROM leaves l {{join}}),
-    parts AS (SELECT tree_id, parent, parent_tag, listagg(leaf, '') WITHIN GROUP (ORDER BY ord) AS body FROM named GROUP BY tree_id, parent, parent_tag)
-    SELECT tree_id, concat('<root BTCPP_format="4"><BehaviorTree ID="main">', listagg(concat('<', parent_tag, '>', body, '</', parent_tag, '>'), '') WITHIN GROUP (ORDER BY parent), '</BehaviorTree></root>') AS xml
-    FROM parts GROUP BY tree_id"""
-
 
 def documents(spark, sf_dir, real: bool = False):
     """``tree_id, xml``; with ``real`` the skills of the catalog stand for the numbered ones."""
-    lines = table(spark, sf_dir, "lineitem")
-    if not real:
-        return spark.sql(_XML.replace("{id}", "skill_id").replace("{join}", ""), lineitem=lines)
-    names = spark.createDataFrame([(k, s) for k, (_, s, _, _) in enumerate(SKILLS)], "k long, name string")
-    return spark.sql(_XML.replace("{id}", "name").replace("{join}", "JOIN {names} n ON n.k = skill_no"), lineitem=lines, names=names)
+    lines = numbered(table(spark, sf_dir, "lineitem"), *map(F.col, ("l_linestatus", "l_partkey", "l_extendedprice", "l_tax")))
+    number = F.col("l_partkey") % 31
+    name = F.get(texts([s for _, s, _, _ in SKILLS]), number.cast("int")) if real else F.concat(F.lit("S"), number.cast("string"))
+    tag = F.when(F.col("l_linestatus") == "O", "<Action").otherwise("<Condition")
+    leaf = F.concat(tag, F.lit(' ID="'), name, F.lit('" price="'), F.col("l_extendedprice").cast("int").cast("string"), F.when(F.col("l_tax") > 0, '" qty="1"/>').otherwise('"/>'))
+    return joined(lines.select("tree_id", "flag", "seq", leaf.alias("leaf")), F.lit('<root BTCPP_format="4"><BehaviorTree ID="main">'), "</BehaviorTree></root>")
 
 
 _DUCK = NODES.replace("{lineitem}", "lineitem")
