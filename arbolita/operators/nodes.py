@@ -21,6 +21,8 @@ NODE = "struct<pre:int,post:int,parent:int,ord:int,depth:int,tag:string,skill_id
 FIELDS = ("pre", "post", "parent", "ord", "depth", "tag", "skill_id", "attrs", "n_children")
 CONTROL = ("Sequence", "Fallback", "ReactiveFallback", "Parallel", "Repeat")
 STRUCTURE = ("root", "BehaviorTree", "SubTree", "SubTreePlus")
+#: documents with any of these are refused or have names that only ElementTree writes in full
+UNUSUAL = ("<!DOCTYPE", "xmlns", "xml:")
 PLAIN_NOT = frozenset((*CONTROL, *STRUCTURE))
 
 
@@ -73,7 +75,7 @@ class Columns:
 
     def add(self, text: str | None) -> None:
         base, flat = len(self.tag), len(self.flat)
-        if text and "<!DOCTYPE" not in text and "xmlns" not in text and "xml:" not in text and self._parse(text, base):
+        if text and not any(x in text for x in UNUSUAL) and self._parse(text, base):
             self.errors.append(None)
         else:
             for column in (self.parent, self.post, self.order, self.depth, self.tag, self.skill, self.children):

@@ -1,7 +1,11 @@
 """Documents from lines: their text, odd lines, and one shuffle for all of it."""
 
+import random
+from functools import cache
+
 import pytest
 
+from arbolita.functions import trees
 from arbolita.operators import nodes
 from arbolita.plans import mission_corpus, xml_queries
 
@@ -45,3 +49,41 @@ def test_parsed_columns_are_those_of_flatten():
             made.add(t)
         trees, errors = (x.to_pylist() for x in made.arrays())
         assert [([tuple(n[f] for f in nodes.FIELDS) for n in rows], e) for rows, e in zip(trees, errors)] == [nodes.flatten(t, mode) for t in texts]
+
+
+def _trees_by_recursion(a, b):
+    """The edit distance by its definition over forests, which are tuples of (label, children)."""
+
+    @cache
+    def d(f, g):
+        if not f and not g:
+            return 0
+        if not f or not g:
+            return sum(1 + d(t[1], ()) for t in f) + sum(1 + d((), t[1]) for t in g)
+        (x, xs), (y, ys) = f[-1], g[-1]
+        return min(d(f[:-1] + xs, g) + 1, d(f, g[:-1] + ys) + 1, d(f[:-1], g[:-1]) + d(xs, ys) + (x != y))
+
+    return d((a,), (b,))
+
+
+def test_edit_distance_by_its_definition():
+    r = random.Random(5)
+
+    def grown(n):
+        kids = [[] for _ in range(n)]
+        for k in range(1, n):
+            kids[r.randrange(max(0, k - r.choice((1, 2, 9))), k)].append(k)
+        labels = [r.choice("abc") for _ in range(n)]
+        made = lambda k: (labels[k], tuple(map(made, kids[k])))
+        return made(0)
+
+    text = lambda t: f"<{t[0]}>{''.join(map(text, t[1]))}</{t[0]}>"
+    for _ in range(300):
+        a, b = grown(r.randint(1, 9)), grown(r.randint(1, 9))
+        assert trees.distance(trees.postorder(text(a)), trees.postorder(text(b))) == _trees_by_recursion(a, b)
+
+
+def test_tree_distance_without_a_document(spark):
+    rows = [("1", "<a><b/></a>", "<a/>"), ("2", "<a/>", None), ("3", None, "<a/>"), ("4", "<a/>", "<a"), ("5", "<a", "<a/>"), ("6", "<a xmlns='u'/>", "<a/>"), ("7", "<a/>", "<a/>")]
+    got = trees.tree_distance(spark.createDataFrame(rows, "id string, a string, b string").coalesce(1), "id", "a", "b").collect()
+    assert {r.id: r.distance for r in got} == {"1": 1, "2": None, "3": None, "4": None, "5": None, "6": 1, "7": 0}
