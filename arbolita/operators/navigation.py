@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolita.operators.validate import FLOAT, INT, literal
+from arbolita.operators.validate import FLOAT, INT, literal, unfolded
 
 #: skill, tag, required attributes with their types
 SKILLS = [
@@ -148,7 +148,7 @@ def checked(trees: DataFrame, strict_attrs: bool = True, strict_blackboard: bool
 
 def issues(trees: DataFrame, **options) -> DataFrame:
     """``tree_id, level, code, detail, pre`` of every finding; options as for ``checked``."""
-    return checked(trees, **options).select("tree_id", F.inline("issues"))
+    return unfolded(checked(trees, **options), F.col("issues"))
 
 
 CODES = (

@@ -62,7 +62,7 @@ def port_report(trees: DataFrame, top: int = 20, catalog: C.Catalog = C.DEFAULT)
     kind = lambda x: F.concat_ws(" ", x["code"], F.when(F.startswith(x["code"], F.lit("port_")), F.substring_index(x["detail"], "=", 1)).otherwise(x["detail"]))
     per = trees.select(F.transform(found, kind).alias("issues"))
     totals = per.agg(F.count("*").alias("total"), F.count_if(F.size("issues") == 0).alias("clean"), F.coalesce(F.sum(F.size("issues")), F.lit(0)).alias("issues_total"))
-    most = per.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "issue").limit(top)
+    most = per.select(F.explode_outer("issues").alias("issue")).where("issue is not null").groupBy("issue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "issue").limit(top)
     t = totals.first()
     rows = most.collect()
     data = [(r.issue, r.n, k, t.total, t.clean, t.issues_total) for k, r in enumerate(rows, 1)]

@@ -6,7 +6,7 @@ from functools import cache
 import pytest
 
 from arbolita.functions import trees
-from arbolita.operators import nodes
+from arbolita.operators import navigation, nodes, validate
 from arbolita.plans import mission_corpus, xml_queries
 
 COLUMNS = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
@@ -87,3 +87,11 @@ def test_tree_distance_without_a_document(spark):
     rows = [("1", "<a><b/></a>", "<a/>"), ("2", "<a/>", None), ("3", None, "<a/>"), ("4", "<a/>", "<a"), ("5", "<a", "<a/>"), ("6", "<a xmlns='u'/>", "<a/>"), ("7", "<a/>", "<a/>")]
     got = trees.tree_distance(spark.createDataFrame(rows, "id string, a string, b string").coalesce(1), "id", "a", "b").collect()
     assert {r.id: r.distance for r in got} == {"1": 1, "2": None, "3": None, "4": None, "5": None, "6": 1, "7": 0}
+
+
+def test_findings_are_made_once(spark):
+    """No filter on the findings' number below the rows of findings, which would make them all twice."""
+    t = nodes.bt_trees(spark.createDataFrame([("1", "<a/>")], "tree_id string, xml string"))
+    for found in (validate.issues(t), validate.port_issues(t), navigation.issues(t)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter (size(" not in plan and "Filter ((size(" not in plan
