@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolita.operators import catalog as C
@@ -69,6 +69,14 @@ def port_report(trees: DataFrame, top: int = 20, catalog: C.Catalog = C.DEFAULT)
     return trees.sparkSession.createDataFrame(data, "issue string, n long, place int, total long, clean long, issues_total long")
 
 
+def commonest(spark: SparkSession, counts: DataFrame, top: int = 20) -> DataFrame:
+    """The port report from ``facts.port_counts``: one pass and one shuffle; only the ``top`` rows and the row of totals meet, which is the one without issue."""
+    per = counts.groupBy("issue").agg(*[F.sum(c).alias(c) for c in ("n", "total", "clean")])
+    rows = per.orderBy(F.col("issue").isNull().desc(), F.desc("n"), "issue").limit(top + 1).collect()
+    data = [(r.issue, r.n, k, rows[0].total, rows[0].clean, rows[0].n) for k, r in enumerate(rows[1:], 1)]
+    return spark.createDataFrame(data, "issue string, n long, place int, total long, clean long, issues_total long")
+
+
 def port_report_json(trees: DataFrame, path: str, missions: Column | None = None, top: int = 20) -> None:
     """The port report as a JSON file: totals, the commonest issues, and the documents with issues beside it as JSON lines."""
     rows = port_report(trees, top).collect()

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbolita.operators import catalog as C
-from arbolita.operators import validate
-from arbolita.operators.nodes import bt_trees
+from arbolita.operators import facts
 from arbolita.operators.validate import _in
 
 WEIGHTS = {"parse": 0.3, "structure": 0.2, "semantic": 0.2, "coherence": 0.2, "hallucination": 0.1}
@@ -99,11 +98,6 @@ def extracted_rich(completion: Column) -> Column:
     return F.nullif(F.regexp_extract(completion, r"(?is)<root.*?</root\s*>", 0), F.lit(""))
 
 
-def _stray(catalog: C.Catalog) -> Column:
-    """IDs of Action and Condition that the catalog doesn't know, as often as they occur."""
-    return F.transform(F.filter("nodes", lambda n: n["tag"].isin("Action", "Condition") & (F.coalesce(n["skill_id"], F.lit("")) != "") & ~_in(n["skill_id"], catalog.names())), lambda n: n["skill_id"])
-
-
 def _weighted(weights: dict[str, float]) -> Column:
     total = F.lit(0.0)
     for k, w in weights.items():
@@ -114,13 +108,13 @@ def _weighted(weights: dict[str, float]) -> Column:
 def rewards(df: DataFrame, catalog: C.Catalog = C.DEFAULT, weights: dict[str, float] = WEIGHTS, id_col: str = "id", mission_col: str = "mission", completion_col: str = "completion") -> DataFrame:
     """``id, kind, r_parse .. r_hallucination, reward`` of every completion; its parts are null and the reward -1 where it has no document."""
     df = df.select(F.col(id_col).cast("string").alias("id"), F.col(mission_col).alias("mission"), extracted(F.col(completion_col)).alias("xml"))
-    some_ = validate.scored(bt_trees(df, "id", "xml", keep=("mission", "xml")), catalog)
-    parts = some_.withColumn("kind", mission_class(F.col("mission"))).select(
-        F.col("tree_id").alias("id"), "kind", "xml", F.when(F.col("score") > 0, 1.0).otherwise(-1.0).alias("r_parse"), F.when(F.col("score") > 0, F.col("score")).otherwise(-0.5).alias("r_structure"),
-        F.greatest(F.lit(0.0), 1.0 - 0.1 * F.col("n_warnings")).alias("r_semantic"), coherence(F.col("xml"), F.col("kind")).alias("r_coherence"),
-        F.when(F.col("parse_error").isNotNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - 0.5 * F.size(_stray(catalog)))).alias("r_hallucination"),
+    df = df.withColumn("kind", mission_class(F.col("mission"))).select("id", "xml", "kind", coherence(F.col("xml"), F.col("kind")).alias("r_coherence"), F.col("xml").isNotNull().alias("there"))
+    parts = facts.judged(df, catalog, id_col="id", keep=("kind", "r_coherence", "there")).select(
+        F.col("tree_id").alias("id"), "kind", "there", F.when(F.col("score") > 0, 1.0).otherwise(-1.0).alias("r_parse"), F.when(F.col("score") > 0, F.col("score")).otherwise(-0.5).alias("r_structure"),
+        F.greatest(F.lit(0.0), 1.0 - 0.1 * F.col("n_warnings")).alias("r_semantic"), "r_coherence",
+        F.when(~F.col("parsed"), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - 0.5 * F.col("n_stray"))).alias("r_hallucination"),
     )
-    there = F.col("xml").isNotNull()
+    there = F.col("there")
     return parts.select("id", "kind", *[F.when(there, F.col(f"r_{k}")).alias(f"r_{k}") for k in WEIGHTS], F.when(there, _weighted(weights)).otherwise(-1.0).alias("reward"))
 
 
@@ -133,21 +127,21 @@ def told(issues: Column, severity: str) -> Column:
 def feedback(df: DataFrame, catalog: C.Catalog = C.DEFAULT, weights: dict[str, float] = WEIGHTS, id_col: str = "id", mission_col: str = "mission", completion_col: str = "completion") -> DataFrame:
     """``id, dense_score, raw_score, valid, r_*, errors_text, warnings_text, skills_used, hallucinated, prompt_text`` of every completion."""
     df = df.select(F.col(id_col).cast("string").alias("id"), F.col(mission_col).alias("mission"), extracted_rich(F.col(completion_col)).alias("xml"))
-    trees = bt_trees(df, "id", "xml", keep=("mission", "xml"))
-    s = validate.scored(validate.enrich(trees, catalog), catalog)
     used = F.array_sort(F.array_distinct(F.regexp_extract_all("xml", F.lit(r'<(?:Action|Condition)[^>]*\bID="([^"]+)"'), 1)))
-    s = s.withColumn("skills_used", used).withColumn("hallucinated", F.filter("skills_used", lambda x: ~_in(x, catalog.names())))
-    there = F.col("xml").isNotNull()
+    df = df.select("id", "xml", coherence_rich(F.col("xml"), F.col("mission")).alias("r_coherence"), used.alias("skills_used"), F.col("xml").isNotNull().alias("there"))
+    s = facts.judged(df, catalog, enriched=True, lines=True, id_col="id", keep=("r_coherence", "skills_used", "there"))
+    s = s.withColumn("hallucinated", F.filter("skills_used", lambda x: ~_in(x, catalog.names())))
+    there = F.col("there")
     component = lambda c, otherwise: F.when(there, c).otherwise(otherwise)
     s = s.select(
-        F.col("tree_id").alias("id"), "xml", component(F.col("score"), 0.0).alias("raw_score"), component(F.col("valid"), False).alias("valid"), component(F.lit(1.0), -1.0).alias("r_parse"),
+        F.col("tree_id").alias("id"), "there", component(F.col("score"), 0.0).alias("raw_score"), component(F.col("valid"), False).alias("valid"), component(F.lit(1.0), -1.0).alias("r_parse"),
         component(F.when(F.col("valid"), F.col("score")).otherwise(-0.5), -0.5).alias("r_structure"), component(F.greatest(F.lit(-1.0), 1.0 - 0.1 * F.col("n_warnings")), 0.0).alias("r_semantic"),
-        component(coherence_rich(F.col("xml"), F.col("mission")), 0.0).alias("r_coherence"), component(F.greatest(F.lit(-1.0), 1.0 - 0.5 * F.size("hallucinated")), 0.0).alias("r_hallucination"),
-        component(told(F.col("issues"), "error"), "No <root> document in the completion").alias("errors_text"), component(told(F.col("issues"), "warning"), "").alias("warnings_text"),
+        component(F.col("r_coherence"), 0.0).alias("r_coherence"), component(F.greatest(F.lit(-1.0), 1.0 - 0.5 * F.size("hallucinated")), 0.0).alias("r_hallucination"),
+        component(F.col("errors_text"), "No <root> document in the completion").alias("errors_text"), component(F.col("warnings_text"), "").alias("warnings_text"),
         F.coalesce("skills_used", F.array().cast("array<string>")).alias("skills_used"), F.coalesce("hallucinated", F.array().cast("array<string>")).alias("hallucinated"),
     )
     s = s.withColumn("dense_score", F.when(there, _weighted(weights)).otherwise(-1.0))
-    return s.withColumn("prompt_text", prompt_text(F.col("raw_score"), F.col("valid"), F.col("errors_text"), F.col("warnings_text"), F.col("hallucinated"))).drop("xml")
+    return s.withColumn("prompt_text", prompt_text(F.col("raw_score"), F.col("valid"), F.col("errors_text"), F.col("warnings_text"), F.col("hallucinated"))).drop("there")
 
 
 def prompt_text(score: Column, valid: Column, errors: Column, warnings: Column, hallucinated: Column, lines: int = 6, names: int = 8) -> Column:

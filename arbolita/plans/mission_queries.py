@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from arbolita.operators import catalog as C
-from arbolita.operators import metrics, navigation, reports, reward, validate
+from arbolita.operators import facts, metrics, navigation, reports, reward, validate
 from arbolita.operators.nodes import bt_trees
 from arbolita.plans.mission_corpus import BASE, documents
 from arbolita.registry import query
