@@ -212,8 +212,7 @@ _ROWS = f""", {_COMPLETE}, evaluated AS (SELECT v.*, h.fly, c.port_completeness,
 
 def evaluated(spark, sf_dir):
     """One row per document with verdict, hallucinations, ports and structure, from one parse."""
-    t = trees(spark, sf_dir)
-    return reports.evaluated(t)
+    return facts.evaluated(documents(spark, sf_dir))
 
 
 @query(
