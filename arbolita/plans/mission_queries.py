@@ -90,7 +90,7 @@ _INVENTORY = """, branch AS (SELECT tree_id, round(avg(n_leaves), 2) AS mean_bra
 @query("mission_inventory", BASE + _INVENTORY + " SELECT * REPLACE (tree_id::VARCHAR AS tree_id) FROM inventory")
 def mission_inventory(spark, sf_dir):
     """The inventory row of every document."""
-    return metrics.inventory(trees(spark, sf_dir))
+    return facts.inventory(documents(spark, sf_dir))
 
 
 _KNOWN = ", ".join(f"'{s}'" for s in C.DEFAULT.names())
@@ -107,7 +107,7 @@ _KNOWN = ", ".join(f"'{s}'" for s in C.DEFAULT.names())
 )
 def mission_inventory_summary(spark, sf_dir):
     """The corpus in one row."""
-    return metrics.inventory_summary(metrics.inventory(trees(spark, sf_dir)))
+    return metrics.inventory_summary(facts.inventory(documents(spark, sf_dir)))
 
 
 @query(
