@@ -261,4 +261,4 @@ def mission_port_report(spark, sf_dir):
 )
 def mission_checklist(spark, sf_dir):
     """Thirteen yes or no answers of the second dialect's rules to every document."""
-    return navigation.checklist(trees(spark, sf_dir))
+    return facts.checklist(documents(spark, sf_dir))
