@@ -252,7 +252,7 @@ def mission_statistics(spark, sf_dir):
 )
 def mission_port_report(spark, sf_dir):
     """The twenty commonest port issues, with clean and total documents."""
-    return reports.port_report(trees(spark, sf_dir), top=20)
+    return reports.commonest(spark, facts.port_counts(documents(spark, sf_dir)), top=20)
 
 
 @query(

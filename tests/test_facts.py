@@ -124,6 +124,14 @@ def test_no_elements_in_plans(spark, name):
     assert plan.count("MapInArrow") == 2 and "(nodes#" not in plan
 
 
+def test_port_report_makes_documents_once(spark, monkeypatch):
+    made = Counter()
+    original = facts.port_counts
+    monkeypatch.setattr(facts, "port_counts", lambda *a, **k: made.update(["made"]) or original(*a, **k))
+    mission_queries.mission_port_report(spark, "/root/testdata/sf0.001")
+    assert made["made"] == 1
+
+
 def test_rewards_without_documents(spark):
     rows = [("1", "Transport", None), ("2", None, "none"), ("3", "Inspection", "<root><a>"), ("4", "simulation", "a <root><BehaviorTree><Action ID=\"MoveAndStop\"/></BehaviorTree></root> b")]
     df = spark.createDataFrame(rows, "id string, mission string, completion string")
