@@ -9,8 +9,8 @@ from arbolita.plans.mission_corpus import BASE, documents
 from arbolita.registry import query
 
 
-def trees(spark, sf_dir, *keep):
-    return bt_trees(documents(spark, sf_dir), keep=keep)
+def trees(spark, sf_dir):
+    return bt_trees(documents(spark, sf_dir))
 
 
 @query("mission_issues", BASE + "SELECT tree_id::VARCHAR AS tree_id, level::INT AS level, severity, code, detail, pre::INT AS pre FROM found")
@@ -71,7 +71,7 @@ def mission_navigation_structure(spark, sf_dir):
 @query("mission_browser_metrics", BASE + "SELECT tree_id::VARCHAR AS tree_id, count(*)::INT AS nodes, 1 AS subtrees, count(skill)::INT AS leaf_nodes, any_value(length(xml))::INT AS xml_size FROM nodes JOIN docs USING (tree_id) GROUP BY tree_id")
 def mission_browser_metrics(spark, sf_dir):
     """Counts and size as the browser shows them."""
-    return metrics.browser(trees(spark, sf_dir, "xml"))
+    return facts.browser(documents(spark, sf_dir))
 
 
 _INVENTORY = """, branch AS (SELECT tree_id, round(avg(n_leaves), 2) AS mean_branching, (SELECT string_agg(tag || ':' || n, ',' ORDER BY tag) FROM (SELECT tag, count(*) AS n FROM controls x WHERE x.tree_id = c.tree_id GROUP BY tag)) AS control_node_counts FROM controls c GROUP BY tree_id),
