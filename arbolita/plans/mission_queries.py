@@ -45,7 +45,7 @@ def mission_structure(spark, sf_dir):
 @query("mission_hallucination", BASE + "SELECT tree_id::VARCHAR AS tree_id, coalesce(max(skill) FILTER (skill = 'Fly'), '') AS hallucinated_skills, count(*) FILTER (skill = 'Fly')::INT AS hallucination_count, count(*)::INT AS total_skills FROM leaves GROUP BY tree_id")
 def mission_hallucination(spark, sf_dir):
     """Unknown skills of every document."""
-    return metrics.hallucination(trees(spark, sf_dir))
+    return facts.hallucination(documents(spark, sf_dir))
 
 
 _COMPLETE = """complete AS (SELECT d.tree_id, CASE WHEN count(p.port) = 0 THEN 1.0 ELSE count(a.port) / count(p.port) END AS port_completeness
