@@ -55,7 +55,7 @@ _COMPLETE = """complete AS (SELECT d.tree_id, CASE WHEN count(p.port) = 0 THEN 1
 @query("mission_port_completeness", BASE + f", {_COMPLETE} SELECT tree_id::VARCHAR AS tree_id, port_completeness FROM complete")
 def mission_port_completeness(spark, sf_dir):
     """Share of the required ports that every document has."""
-    return metrics.port_completeness(trees(spark, sf_dir))
+    return facts.port_completeness(documents(spark, sf_dir))
 
 
 @query(

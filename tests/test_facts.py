@@ -117,7 +117,7 @@ def test_port_report_of_texts(spark, docs):
     assert reports.commonest(spark, facts.port_counts(docs.limit(0))).collect() == []
 
 
-@pytest.mark.parametrize("name", ["feedback", "rewards", "metrics", "statistics", "summary", "inventory", "checklist", "browser_metrics", "hallucination"])
+@pytest.mark.parametrize("name", ["feedback", "rewards", "metrics", "statistics", "summary", "inventory", "checklist", "browser_metrics", "hallucination", "port_completeness"])
 def test_no_elements_in_plans(spark, name):
     """Documents, then one pass over their texts; expressions over arrays of elements are what grew past the limit."""
     plan = getattr(mission_queries, f"mission_{name}")(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
